@@ -11,15 +11,17 @@ that repeat are judged alike and all returned; columns other than those named ar
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WS
 
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = (
-    "all rights reserved", "licensed under", "released under", "copyright", "cookie policy", "privacy policy",
-    "terms of use", "terms of service", "subscribe to", "sign up", "log in", "click here", "enable javascript", "lorem ipsum",
+BOILERPLATE = (  # without their first letters, which may be capitals
+    "icensed under", "eleased under", "ights reserved", "ights Reserved", "opyright", "rivacy policy", "nable javascript", "orem ipsum",
 )
 SHOUT = "([A-Z]+[^a-zA-Z]+){6}"  # six runs of capitals with no small letter between them
 MIN_WORDS = 10
@@ -36,10 +38,8 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def without(text: Column, chars: str) -> Column:
-    for c in chars:
-        text = F.replace(text, F.lit(c), F.lit(""))
-    return text
+def count_symbols(text: Column) -> Column:
+    return F.size(F.split(text, "[#*$%&|<>]")) - 1
 
 
 def words_in(text: Column) -> Column:
@@ -50,10 +50,13 @@ def words_in(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words stand in a 5-word window that the text holds at least twice."""
 
-    def windows(h: Column) -> Column:
-        n = F.size(h)
-        lagged = F.arrays_zip(*[F.slice(h, F.lit(j + 1), n - 4) for j in range(5)])
-        return F.when(n >= 6, F.transform(lagged, lambda five: F.xxhash64(five)))
+    def windows(w: Column) -> Column:
+        n = F.size(w)
+        hashed = lambda a, b: F.xxhash64(a, b)
+        two = F.zip_with(F.slice(w, 1, n - 1), F.slice(w, F.lit(2), n - 1), hashed)
+        four = let(two, lambda p: F.zip_with(F.slice(p, 1, n - 3), F.slice(p, F.lit(3), n - 3), hashed))
+        five = F.zip_with(F.slice(four, 1, n - 4), F.slice(w, F.lit(5), n - 4), hashed)
+        return F.when(n >= 6, five)
 
     def covered(g: Column) -> Column:
         ranked = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
@@ -69,28 +72,22 @@ def repeated_words(words: Column) -> Column:
 
         return let(let(ranked, twice), total)
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
     none = F.lit(0).cast("long")
-    return let(let(hashes, windows), lambda g: F.when(
+    return let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), lambda g: F.when(
         g.isNull() | (F.size(F.array_distinct(g)) == F.size(g)), none).otherwise(covered(g)))
 
 
-def line_fails(line: Column) -> Column:
-    """Navigation, symbol noise, shouting, boilerplate or missing punctuation."""
+def boilerplate(text: Column) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(p)) for p in BOILERPLATE])
 
-    def rules(low: Column) -> Column:
-        n = F.length(line)
-        pipes = n - F.length(without(line, "|"))
-        symbols = n - F.length(without(line, SYMBOLS))
-        navigation = (pipes >= NAV_PIPES) & (pipes * NAV_CHARS >= n)
-        noise = symbols * 100 > n * SYMBOL_PERCENT
-        unpunctuated = (n >= LONG_LINE) & ~line.rlike("[.,;:!?]")
-        fails = navigation | noise | unpunctuated | line.rlike(SHOUT)
-        for phrase in BOILERPLATE:
-            fails = fails | F.contains(low, F.lit(phrase))
-        return fails
 
-    return let(F.lower(line), rules)
+def line_fails(line: Column, suspect: Column) -> Column:
+    """Symbol noise, navigation, missing punctuation, shouting or boilerplate; suspect: the text has a boilerplate phrase somewhere."""
+    n = F.length(line)
+    pipes = F.size(F.split(line, "[|]")) - 1
+    fails = (count_symbols(line) * 100 > n * SYMBOL_PERCENT) | ((pipes >= NAV_PIPES) & (pipes * NAV_CHARS >= n))
+    fails = fails | ((n >= LONG_LINE) & ~line.rlike("[.,;:!?]"))
+    return fails | line.rlike(SHOUT) | (suspect & boilerplate(line))
 
 
 def has_word(line: Column) -> Column:
@@ -100,28 +97,26 @@ def has_word(line: Column) -> Column:
 def assess(docs: DataFrame) -> DataFrame:
     """doc_id, text, lang, source and the like stay; adds struct column `_weft_quality` with every measure."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    solid = without(text, " \n\t\r\x0b\x0c")
 
     def lines_of(lines: Column) -> Column:
         return let(F.filter(lines, has_word), lambda full: F.struct(
             (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
-            F.filter(full, lambda x: ~line_fails(x)).alias("good"),
+            let(boilerplate(text), lambda bad: F.filter(full, lambda x: ~line_fails(x, bad))).alias("good"),
             full.alias("full")))
 
     def measures(words: Column) -> Column:
-        return F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).alias("n_repeat_words"))
+        return F.struct(F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), repeated_words(words).alias("n_repeat_words"))
 
     chars = lambda ls: F.aggregate(ls, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     parts = docs.withColumn("_weft_quality", F.struct(
         let(words_in(text), measures).alias("w"),
         let(F.split(text, "\n"), lines_of).alias("l"),
-        F.length(solid).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols")))
+        count_symbols(text).cast("long").alias("n_symbols")))
     q = F.col("_weft_quality")
     total, left = chars(q["l"]["full"]), chars(q["l"]["good"])
     failed = (q["w"]["n_words"] < MIN_WORDS) | (q["w"]["n_repeat_words"] * 100 > q["w"]["n_words"] * REPEAT_PERCENT)
     return parts.withColumn("_weft_quality", F.struct(
-        q["w"]["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"),
+        q["w"]["n_words"].alias("n_words"), q["w"]["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"),
         q["l"]["n_dup_lines"].alias("n_dup_lines"), q["w"]["n_repeat_words"].alias("n_repeat_words"),
         failed.alias("base_failed"),
         (~failed & ((total - left) * 100 <= total * LOST_PERCENT)).alias("kept"),
@@ -156,7 +151,7 @@ def _cut(expr: str, chars: str) -> str:
     return expr
 
 
-_PHRASES = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
+_PHRASES = " OR ".join(f"contains(x, '{p}')" for p in BOILERPLATE)
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rn, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
