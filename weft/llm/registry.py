@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, secrets
 
 
 def queries():
-    return {"op6_quality_rules": quality.op6}
+    return {"op1_secret_scan": secrets.op1, "op6_quality_rules": quality.op6}
 
 
 def oracle_sql():
-    return {"op6_quality_rules": quality.SQL}
+    return {"op1_secret_scan": secrets.SQL, "op6_quality_rules": quality.SQL}
