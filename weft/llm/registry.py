@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality, secrets
+from . import decontaminate, quality, secrets
 
 
 def queries():
-    return {"op1_secret_scan": secrets.op1, "op6_quality_rules": quality.op6}
+    return {"op1_secret_scan": secrets.op1, "op6_quality_rules": quality.op6,
+            "op10_decontaminate": decontaminate.op10}
 
 
 def oracle_sql():
-    return {"op1_secret_scan": secrets.SQL, "op6_quality_rules": quality.SQL}
+    return {"op1_secret_scan": secrets.SQL, "op6_quality_rules": quality.SQL,
+            "op10_decontaminate": decontaminate.SQL}
