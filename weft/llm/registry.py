@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, secrets
+from . import decontaminate, mixing, quality, secrets
 
 
 def queries():
-    return {"op1_secret_scan": secrets.op1, "op6_quality_rules": quality.op6,
+    return {"op1_secret_scan": secrets.op1, "op3_mix": mixing.op3, "op6_quality_rules": quality.op6,
             "op10_decontaminate": decontaminate.op10}
 
 
