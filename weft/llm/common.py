@@ -133,3 +133,14 @@ def shingles(words: np.ndarray, ptr: np.ndarray, n: int = 5) -> tuple[np.ndarray
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors, keeps columns apart."""
+    from uuid import uuid4
+
+    from weft.session import shared_dir
+
+    path = f"{shared_dir(df.sparkSession)}/weft-{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, secrets
+from . import decontaminate, mixing, neardup, quality, secrets
 
 
 def queries():
     return {"op1_secret_scan": secrets.op1, "op3_mix": mixing.op3, "op6_quality_rules": quality.op6,
-            "op10_decontaminate": decontaminate.op10}
+            "op7_near_duplicates": neardup.op7, "op10_decontaminate": decontaminate.op10}
 
 
 def oracle_sql():
     return {"op1_secret_scan": secrets.SQL, "op6_quality_rules": quality.SQL,
-            "op10_decontaminate": decontaminate.SQL}
+            "op7_near_duplicates": neardup.op7, "op10_decontaminate": decontaminate.SQL}
