@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality, secrets
+from . import decontaminate, langid, mixing, neardup, quality, secrets, toxicity
 
 
 def queries():
     return {"op1_secret_scan": secrets.op1, "op3_mix": mixing.op3, "op6_quality_rules": quality.op6,
-            "op7_near_duplicates": neardup.op7, "op10_decontaminate": decontaminate.op10}
+            "op7_near_duplicates": neardup.op7,
+            "op8_language_id": langid.op8, "op9_toxicity": toxicity.op9, "op10_decontaminate": decontaminate.op10}
 
 
 def oracle_sql():
     return {"op1_secret_scan": secrets.SQL, "op6_quality_rules": quality.SQL,
-            "op7_near_duplicates": neardup.op7, "op10_decontaminate": decontaminate.SQL}
+            "op7_near_duplicates": neardup.op7,
+            "op8_language_id": langid.op8, "op9_toxicity": toxicity.op9, "op10_decontaminate": decontaminate.SQL}
