@@ -1,8 +1,8 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Examples are a bounded sample of labelled rows: of each label the EXAMPLES rows with the smallest
-hash of doc_id, among those outside the held-out third. Terms are the words that go with a label
-in the sample (chi-squared of at least CHI2, at most MAX_TERMS of them); examples and queries are
+hash of doc_id, among those outside the held-out third. Terms are the words and word stems that go with a label
+in the sample (likelihood ratio of at least LOG_RATIO, at most MAX_TERMS of them); examples and queries are
 TF-IDF vectors of length one over these terms. Each whole text is a query: blocks of 64 examples
 are visited by falling upper bound until none can enter the K nearest, so the K nearest are exact.
 Their labels vote by similarity; the vote is calibrated by isotonic regression on leave-one-out
@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, raw, slices, span_hashes, table, word_bounds
+from .common import crc_mod, mix64, raw, slices, span_hashes, table, word_bounds
 
 EXAMPLES = 1500  # of each label
 MAX_TERMS = 4096
-CHI2 = 25.0
+LOG_RATIO = 24.0
+STEM = 5
+AGAIN = np.uint64(0x5851F42D4C957F2D)
 K = 10
 BLOCK = 64
 PRIOR_WEIGHT = 0.3
@@ -36,18 +38,30 @@ _FOLD[[b for b in range(33, 127) if not chr(b).isalnum()]] = 32
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words without ASCII case and punctuation, and where each text's begin."""
+    """Hashes of the words, without ASCII case and punctuation, and of their stems (first STEM bytes), by text."""
     data, offsets = raw(column)
     data = _FOLD[data]
     starts, ends, ptr = word_bounds(data, offsets)
-    return span_hashes(data, starts, ends), ptr
+    long = ends - starts > STEM
+    stems = mix64(span_hashes(data, starts[long], starts[long] + STEM))
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(ptr))
+    both = np.concatenate((doc, doc[long]))
+    order = np.argsort(both, kind="stable")
+    return np.concatenate((span_hashes(data, starts, ends), stems))[order], np.searchsorted(both[order], np.arange(len(offsets)))
+
+
+def bag(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different terms and their counts; a term that occurs again is joined by a term for that."""
+    t, n = np.unique(h, return_counts=True)
+    again = n > 1
+    return np.concatenate((t, mix64(t[again] ^ AGAIN))), np.concatenate((n, n[again]))
 
 
 def _example_terms(batches):
     for batch in batches:
         for part in slices(batch):
             h, ptr = terms(part.column(2))
-            bags = [np.unique(h[a:b], return_counts=True) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+            bags = [bag(h[a:b]) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array([x.tobytes() for x, _ in bags], pa.binary()),
                  pa.array([n.astype(np.int32).tobytes() for _, n in bags], pa.binary())], names=["doc_id", "toxic", "terms", "counts"])
@@ -79,10 +93,14 @@ class Neighbours:
         df = np.bincount(inv, minlength=len(vocabulary)).astype(float)
         dt = np.bincount(inv, label, minlength=len(vocabulary))
         a, b, c, d = dt, df - dt, positive - dt, n - positive - df + dt
-        chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-        best = np.lexsort((vocabulary, -chi2))[:MAX_TERMS]
-        best = np.sort(best[chi2[best] >= CHI2])
+        g2 = np.zeros(len(vocabulary))  # likelihood ratio of term and label
+        for cell, row, col in ((a, a + b, a + c), (b, a + b, b + d), (c, c + d, a + c), (d, c + d, b + d)):
+            g2 += 2 * cell * np.log(np.maximum(cell * n, 1e-9) / np.maximum(row * col, 1e-9))
+        best = np.lexsort((vocabulary, -g2))[:MAX_TERMS]
+        best = np.sort(best[g2[best] >= LOG_RATIO])
         self.vocabulary, self.idf = vocabulary[best], np.log((1 + n) / (1 + df[best])) + 1
+        again = vocabulary[np.isin(mix64(vocabulary ^ AGAIN), self.vocabulary)]
+        self.lookup = np.unique(np.concatenate((self.vocabulary, again)))
         self.postings, self.bound = {}, np.zeros((len(best), (n + BLOCK - 1) // BLOCK))
         self.vectors = []
         for k, (t, count) in enumerate(bags):
@@ -145,7 +163,7 @@ class Neighbours:
                 self.cache.clear()
             vote, evidence = self.vote(at, q)
             if self.curve is not None:
-                vote = (vote + float(np.interp(vote, *self.curve))) / 2
+                vote = 0.9 * float(np.interp(vote, *self.curve)) + 0.1 * vote
             self.cache[key] = (round(vote, 9), evidence, len(at))
         return self.cache[key]
 
@@ -175,14 +193,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 h, ptr = terms(part.column(2))
-                lookup = model.vocabulary
+                lookup = model.lookup
                 if len(lookup) and len(h):
                     place = np.minimum(np.searchsorted(lookup, h), len(lookup) - 1)
                     hit = np.flatnonzero(lookup[place] == h)
                 else:
                     hit = np.zeros(0, np.int64)
                 cut = np.searchsorted(hit, ptr)
-                got = [model.score(*np.unique(h[hit[a:b]], return_counts=True)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                got = [model.score(*bag(h[hit[a:b]])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 score = np.array([g[0] for g in got])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32)),
