@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, mixing, neardup, quality, secrets, toxicity
+from . import decontaminate, langid, linededup, mixing, neardup, quality, secrets, toxicity
 
 
 def queries():
-    return {"op1_secret_scan": secrets.op1, "op3_mix": mixing.op3, "op6_quality_rules": quality.op6,
+    return {"op1_secret_scan": secrets.op1, "op2_line_dedup": linededup.op2, "op3_mix": mixing.op3, "op6_quality_rules": quality.op6,
             "op7_near_duplicates": neardup.op7,
             "op8_language_id": langid.op8, "op9_toxicity": toxicity.op9, "op10_decontaminate": decontaminate.op10}
 
 
 def oracle_sql():
-    return {"op1_secret_scan": secrets.SQL, "op6_quality_rules": quality.SQL,
+    return {"op1_secret_scan": secrets.SQL, "op2_line_dedup": linededup.SQL, "op6_quality_rules": quality.SQL,
             "op7_near_duplicates": neardup.op7,
             "op8_language_id": langid.op8, "op9_toxicity": toxicity.op9, "op10_decontaminate": decontaminate.SQL}
