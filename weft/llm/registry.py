@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, mixing, neardup, quality, secrets, tokenbin, toxicity
+from . import decontaminate, langid, langmodel, linededup, mixing, neardup, quality, secrets, tokenbin, toxicity
 
 
 def queries():
-    return {"op1_secret_scan": secrets.op1, "op2_line_dedup": linededup.op2, "op3_mix": mixing.op3, "op5_token_shards": tokenbin.op5, "op6_quality_rules": quality.op6,
+    return {"op1_secret_scan": secrets.op1, "op2_line_dedup": linededup.op2, "op3_mix": mixing.op3, "op4_lm_score": langmodel.op4, "op5_token_shards": tokenbin.op5, "op6_quality_rules": quality.op6,
             "op7_near_duplicates": neardup.op7,
             "op8_language_id": langid.op8, "op9_toxicity": toxicity.op9, "op10_decontaminate": decontaminate.op10}
 
