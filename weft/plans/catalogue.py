@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import graph_queries
+
+_ALL = {**graph_queries.QUERIES}
+
 
 def queries():
-    return {}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
