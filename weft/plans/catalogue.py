@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries
+from . import flow_queries, graph_queries, resolve_queries, search_queries, text_queries
 
-_ALL = {**graph_queries.QUERIES}
+_ALL = {**graph_queries.QUERIES, **search_queries.QUERIES, **resolve_queries.QUERIES, **flow_queries.QUERIES, **text_queries.QUERIES}
 
 
 def queries():
