@@ -10,8 +10,10 @@ time. Two texts agree in a register with probability equal to their weighted Jac
 1. every text is compared with at most STARS of the smallest members of its buckets (a star, no
    pairs of all), links are verified on the texts, and components are joined up;
 2. a bucket that then still holds several components has its members compared across
-   components on 240-byte sketches, in blocks of 512 members, and what may reach 0.8 is
-   verified too. So no bucket is capped and none is ever expanded into rows of pairs.
+   components in pairs of blocks of 512 members: first 240-byte sketches, then, for what may
+   reach 0.8, the shingles themselves, which travel with the members. Each pair of blocks hands on
+   only the links that join something up. So no bucket is capped and none is ever expanded into
+   rows of pairs.
 Verified means: sum of minima over sum of maxima of the shingle counts is at least 0.8.
 
 Defined results: a text of one to four words is one shingle; a null text or one without words is
@@ -166,25 +168,76 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return save(rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary"), "links")
 
 
+def _grams(batches):
+    for batch in batches:
+        for part in slices(batch):
+            words, ptr = hashed_words(part.column(1))
+            grams, cut = shingles(words, ptr)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([grams[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "grams"])
+
+
 def _across(keys, part):
-    """Pairs of one block pair whose components differ and whose sketches may reach the threshold."""
-    i, j = keys[1].as_py(), keys[2].as_py()
+    """Verified links between the components of one pair of blocks, as few as join up what they join.
+
+    Looked at are pairs of different components whose sketches may reach the threshold and whose first common band
+    is this bucket's, the most alike first; a pair that earlier links have joined already is not verified again.
+    """
+    key, i, j = (k.as_py() for k in keys)
     node, comp, chunk = part.column("node").to_pylist(), part.column("comp").to_pylist(), np.array(part.column("chunk"))
     sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, M)
+    bands = np.frombuffer(b"".join(part.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
+    own = (bands == key).argmax(axis=1)
     label = np.unique(np.array(comp, dtype=object), return_inverse=True)[1]
     left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-    a, b = [], []
+    found = []
     for x in left:
         other = right[right > x] if i == j else right
         other = other[label[other] != label[x]]
-        like = (sketch[other] == sketch[x]).mean(axis=1) >= SKETCH_SIMILAR
-        for y in other[like]:
+        like = (sketch[other] == sketch[x]).mean(axis=1)
+        other, like = other[like >= SKETCH_SIMILAR], like[like >= SKETCH_SIMILAR]
+        first = (bands[other] == bands[x]).argmax(axis=1) == own[x] if len(other) else np.zeros(0, bool)
+        found.append(np.stack((np.full(first.sum(), x), other[first], -like[first])))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0))
+    root, grams = np.arange(len(label)), part.column("grams")
+    held: dict[int, np.ndarray] = {}
+
+    def top(k):
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    def shingles_of(k):
+        if k not in held:
+            held[k] = np.frombuffer(grams[k].as_buffer(), np.uint64)
+        return held[k]
+
+    a, b = [], []
+    for x, y in pairs[:2, np.argsort(pairs[2], kind="stable")].T.astype(np.int64):
+        p, q = top(label[x]), top(label[y])
+        if p != q and similarity(shingles_of(x), shingles_of(y)) >= SIMILAR:
+            root[p] = q
             lo, hi = sorted((node[x], node[y]))
             a.append(hi)
             b.append(lo)
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
+def _mixed_blocks(labelled: DataFrame) -> DataFrame:
+    """key, i, j, node, comp, chunk: the members of buckets that hold several components, dealt to pairs of blocks.
+
+    A bucket's largest component is not held against itself: its blocks meet only those of the other members.
+    """
+    by_comp = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")).where("n > n_main")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    rows = labelled.join(mixed.select("key", "main", blocks(F.col("n") - F.col("n_main")).alias("rest"), blocks(F.col("n_main")).alias("core")), "key")
+    spread, inner = F.xxhash64("node"), F.col("comp") == F.col("main")
+    rows = rows.withColumn("chunk", F.when(inner, F.col("rest") + F.pmod(spread, F.col("core"))).otherwise(F.pmod(spread, F.col("rest"))).cast("int"))
+    partners = F.sequence(F.lit(0), F.when(inner, F.col("rest") - 1).otherwise(F.col("rest") + F.col("core") - 1))
+    rows = rows.select("key", "node", "comp", "chunk", F.explode(partners).alias("o"))
+    return rows.select("key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "node", "comp", "chunk")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, class_id, class_size, representative, and its text's `node` (null without words)."""
     docs = docs.select("doc_id", "text")
@@ -202,15 +255,12 @@ def classes(docs: DataFrame) -> DataFrame:
     joined = components(links)
 
     labelled = save(members.join(joined, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-    mixed = mixed.where("lo != hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    chunked = labelled.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
-                        lambda o: F.struct(F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
-    blocks = chunked.withColumn("p", F.explode(pairs)).join(nodes.select("node", "sketch"), "node")
-    more = blocks.select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "comp", "chunk", "sketch") \
-        .groupBy("key", "i", "j").applyInArrow(_across, "a binary, b binary").distinct()
-    links = links.union(_verified(more.join(stars, ["a", "b"], "left_anti"), docs, nodes))
+    blocks = save(_mixed_blocks(labelled), "blocks")
+    used = nodes.join(blocks.select("node").distinct(), "node", "left_semi")
+    grams = _texts(docs, save(used.select("node", "doc_id"), "nodes")).mapInArrow(_grams, "node binary, grams binary")
+    known = save(used.select("node", "bands", "sketch").join(grams, "node"), "grams")
+    more = blocks.join(known, "node").groupBy("key", "i", "j").applyInArrow(_across, "a binary, b binary")
+    links = links.union(save(more, "links"))
 
     joined = components(links)
     labels = nodes.join(joined, "node", "left").select("node", "doc_id", "rows", F.coalesce("comp", "node").alias("comp"))
