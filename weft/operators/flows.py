@@ -227,6 +227,6 @@ def process_stats(rows: DataFrame) -> DataFrame:
 def process_edges(steps: DataFrame, calls: DataFrame) -> DataFrame:
     """process, src, dst: calls between two steps of one process, without self loops."""
     a = steps.select("process", F.col("node").alias("src")).distinct()
-    b = steps.select(F.col("process").alias("_p"), F.col("node").alias("dst")).distinct()
+    b = steps.select("process", F.col("node").alias("dst")).distinct()
     pairs = calls.select("src", "dst").where("src != dst").distinct()
-    return a.join(pairs, "src").join(b, (F.col("_p") == F.col("process")) & (pairs.dst == b.dst)).select("process", "src", pairs.dst)
+    return a.join(pairs, "src").join(b, ["process", "dst"]).select("process", "src", "dst")
