@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 
 from weft.session import shared_dir
 
-from .common import mix64, slices, table
+from .common import mix64, raw, slices, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LENGTH, PER_SHARD = 1024, 16_384
 KEY = 0x5EEDC0DE
 ROUNDS = 4
-FLUSH = 24 << 20
+FLUSH = 16 << 20
 
 
 def load_ranks(path: str = TOKENIZER) -> dict[bytes, int]:
@@ -90,10 +90,10 @@ def _tokenise(ranks):
     def rows(batches):
         coder, end = encoding(ranks.value), len(ranks.value)
         part, before = TaskContext.get().partitionId(), 0
-        kind = np.uint16 if end < 1 << 16 else np.uint32
+        kind, empty = np.uint16 if end < 1 << 16 else np.uint32, np.zeros(0, np.uint32)
         for batch in batches:
             for own in slices(batch, max_bytes=4 << 20):
-                tokens = [np.array([*(coder.encode_ordinary(t) if t else ()), end], kind) for t in own.column(1).to_pylist()]
+                tokens = [np.append(coder.encode_to_numpy(t, disallowed_special=()) if t else empty, end).astype(kind) for t in own.column(1).to_pylist()]
                 n = np.array([len(t) for t in tokens], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(before + np.cumsum(n) - n), pa.array(n),
@@ -108,28 +108,37 @@ def _pieces(offsets, order, length, per_shard, kind):
     """Pieces of the texts by shard: place of each token run in its shard, and the runs, compressed."""
 
     def pack(held):
-        shard, place, run = (np.array([h[0] for h in held]), np.array([h[1] for h in held], np.int64), [h[2] for h in held])
-        rows = []
-        for s in np.unique(shard):
-            own = np.flatnonzero(shard == s)
-            sizes = np.array([len(run[k]) for k in own], np.int64)
-            body = np.array([len(own)], np.int64).tobytes() + place[own].tobytes() + sizes.tobytes() + b"".join(run[k].tobytes() for k in own)
-            rows.append((int(s), zstandard.compress(body, 3)))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "payload"])
+        shard, place, sizes = (np.concatenate([h[k] for h in held]) for k in range(3))
+        tokens = np.concatenate([h[3] for h in held])
+        by = np.argsort(shard, kind="stable")
+        start = (np.cumsum(sizes) - sizes)[by]
+        shard, place, sizes = shard[by], place[by], sizes[by]
+        tokens = tokens[np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+        ids, cut = np.unique(shard, return_index=True)
+        cut, ends = np.append(cut, len(shard)), np.concatenate(([0], np.cumsum(sizes)))
+        rows = [zstandard.compress(b"".join((np.array([v - u], np.int64).tobytes(), place[u:v].tobytes(), sizes[u:v].tobytes(), tokens[ends[u] : ends[v]].tobytes())), 3)
+                for u, v in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows, pa.binary())], names=["shard", "payload"])
 
     def rows(batches):
-        start, held, bytes_held = offsets.value, [], 0
-        for batch in batches:
-            part, before = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for k in range(batch.num_rows):
-                own = np.frombuffer(batch.column(2)[k].as_buffer(), kind)
-                at = start[int(part[k])] + int(before[k])
-                first, last = at // length, (at + len(own) - 1) // length
-                slots = order.slot(np.arange(first, last + 1))
-                for s, slot in zip(range(first, last + 1), slots, strict=True):
-                    lo, hi = max(at, s * length), min(at + len(own), (s + 1) * length)
-                    held.append((int(slot) // per_shard, int(slot) % per_shard * length + lo - s * length, own[lo - at : hi - at].copy()))
-                bytes_held += own.nbytes
+        known = offsets.value
+        starts = np.zeros(max(known, default=0) + 1, np.int64)
+        starts[list(known)] = list(known.values())
+        held, bytes_held = [], 0
+        for whole in batches:
+            for batch in slices(whole, "tokens", FLUSH):
+                data, ptr = raw(batch.column(2))
+                tokens, ptr = data.view(kind), ptr // np.dtype(kind).itemsize
+                n = np.diff(ptr)
+                at = starts[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
+                first = at // length
+                many = (at + n - 1) // length - first + 1
+                text = np.repeat(np.arange(len(n)), many)
+                sequence = first[text] + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+                lo, hi = np.maximum(at[text], sequence * length), np.minimum(at[text] + n[text], (sequence + 1) * length)
+                slot = order.slot(sequence)
+                held.append((slot // per_shard, slot % per_shard * length + lo - sequence * length, hi - lo, tokens))  # runs lie end to end
+                bytes_held += tokens.nbytes
                 if bytes_held >= FLUSH:
                     yield pack(held)
                     held, bytes_held = [], 0
@@ -146,13 +155,11 @@ def _shard(out, n_sequences, length, per_shard, end, kind):
         body = np.full(count * length, end, kind)
         filled = 0
         for payload in rows.column("payload").to_pylist():
-            raw = zstandard.decompress(payload)
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            place, sizes = np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.int64, n, 8 + 8 * n)
-            run = np.frombuffer(raw, kind, offset=8 + 16 * n)
-            cut = np.concatenate(([0], np.cumsum(sizes)))
-            for k in range(n):
-                body[place[k] : place[k] + sizes[k]] = run[cut[k] : cut[k + 1]]
+            flat = zstandard.decompress(payload)
+            n = int(np.frombuffer(flat, np.int64, 1)[0])
+            place, sizes = np.frombuffer(flat, np.int64, n, 8), np.frombuffer(flat, np.int64, n, 8 + 8 * n)
+            run = np.frombuffer(flat, kind, offset=8 + 16 * n)
+            body[np.repeat(place - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(run))] = run
             filled += int(sizes.sum())
         store, path = pafs.FileSystem.from_uri(out)
         name = f"{path}/shard-{shard:06d}.bin"
