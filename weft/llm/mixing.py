@@ -105,7 +105,7 @@ class Mix:
         self.blocks = [max(1, s // per_block) for s in self.sizes]
         self._sources = self.spark.createDataFrame(
             [(n, i, b, s, t) for i, (n, b, s, t) in enumerate(zip(self.names, self.blocks, self.sizes, self.targets, strict=True))],
-            "_weft_source string, _weft_s int, _weft_blocks long, source_size long, target double")
+            "_weft_source string, _weft_s int, _weft_blocks long, _weft_source_size long, _weft_target double")
         keyed = self._blocked(rows)
         sums = keyed.groupBy("_weft_s", "_weft_block").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
         self._plan(keyed, sums)
@@ -170,21 +170,22 @@ class Mix:
         return F.xxhash64("_weft_key", F.lit(self.seed), F.lit("edge"))
 
     def place(self, rows: DataFrame) -> DataFrame:
-        """Adds source_size, target and `slots`, an array of (epoch, shard): one entry for each time the mix takes the row."""
+        """Adds _weft_source_size, _weft_target and _weft_slots, an array of (epoch, shard): one entry for each time the mix takes the row."""
         out = self._blocked(rows).join(F.broadcast(self._slots), ["_weft_s", "_weft_block"], "left")
         h = self._inner()
         kept = F.filter("_weft_dealt", lambda d: d["cut"].isNull() | (h <= d["cut"]))
         slots = F.transform(kept, lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard")))
         empty = F.array().cast("array<struct<epoch:int,shard:int>>")
-        return out.withColumn("slots", F.coalesce(slots, empty)).drop("_weft_s", "_weft_block", "_weft_blocks", "_weft_dealt")
+        return out.withColumn("_weft_slots", F.coalesce(slots, empty)).drop("_weft_s", "_weft_block", "_weft_blocks", "_weft_dealt")
 
 
 def mix_rows(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken, copies, shards."""
     rows = materialise(sized(docs))
     return Mix(rows).place(rows).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("slots")).alias("taken"),
-        F.size("slots").cast("long").alias("copies"), F.array_join(F.transform("slots", lambda s: s["shard"]), ",").alias("shards"))
+        "doc_id", "source", "size", F.col("_weft_source_size").alias("source_size"), F.col("_weft_target").alias("target"),
+        (F.col("size") * F.size("_weft_slots")).alias("taken"), F.size("_weft_slots").cast("long").alias("copies"),
+        F.array_join(F.transform("_weft_slots", lambda s: s["shard"]), ",").alias("shards"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -192,7 +193,7 @@ def mix(docs: DataFrame) -> DataFrame:
     names = docs.columns
     plan = Mix(materialise(sized(docs)))
     rows = plan.place(docs.select(*[F.col(f"`{c}`") for c in names], row_key().alias("_weft_key")))
-    rows = rows.select(*[F.col(f"`{c}`") for c in names], "_weft_key", F.explode("slots").alias("_weft_slot"))
+    rows = rows.select(*[F.col(f"`{c}`") for c in names], "_weft_key", F.explode("_weft_slots").alias("_weft_slot"))
     spread = F.xxhash64("_weft_slot", "_weft_key", F.lit(plan.seed))
     return (rows.withColumn("_weft_order", spread).repartition(F.col("_weft_slot.shard"))
             .sortWithinPartitions("_weft_slot.shard", "_weft_order").select(*[F.col(f"`{c}`") for c in names]))

@@ -11,7 +11,7 @@ gets the share of toxic rows among such examples.
 
 Defined results: null or empty texts are scored like texts without terms; without labels every
 score is 0; contradicting labels of a doc_id count as toxic; labels with a null doc_id or value
-are ignored; rows that repeat are scored alike; only doc_id, text and toxic are read.
+are ignored; of documents that share a doc_id the first text by order is the example; rows that repeat are scored alike; only doc_id, text and toxic are read.
 """
 
 from __future__ import annotations
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Neighbours:
     order = (F.xxhash64("doc_id", F.lit("example")), F.col("doc_id"))
     parts = [known.where(F.col("toxic") == v).orderBy(*order).limit(EXAMPLES) for v in (0, 1)]
     chosen = parts[0].union(parts[1]).select(F.col("doc_id").alias("_weft_id"), F.col("toxic").alias("_weft_toxic"))
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_weft_id")).select("doc_id", "_weft_toxic", "text").dropDuplicates(["doc_id"])
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_weft_id")).groupBy("doc_id", "_weft_toxic").agg(F.min("text").alias("text"))
     got = rows.mapInArrow(_example_terms, "doc_id long, toxic int, terms binary, counts binary").collect()
     return Neighbours(sorted(((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in got), key=lambda r: r[0]), counts.get(1, 0) / total)
 
