@@ -117,7 +117,7 @@ def op2(spark, sf_dir) -> DataFrame:
 
 
 SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS rn, doc_id, text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, text, count(*) AS copies FROM documents GROUP BY doc_id, text),
 l AS (SELECT rn, doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 w AS (SELECT rn, doc_id, i, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x,
         len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS n FROM l WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
@@ -134,5 +134,5 @@ k AS (SELECT l.rn, string_agg(l.x, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS
 SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(words_removed, 0) AS BIGINT) AS words_removed,
   CASE WHEN d.text IS NOT NULL THEN length(coalesce(t, '')) END AS chars_left,
   CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(t, '')) END AS text_sha256
-FROM d LEFT JOIN k USING (rn)
+FROM (SELECT *, unnest(range(copies)) AS copy FROM d) d LEFT JOIN k USING (rn)
 """
