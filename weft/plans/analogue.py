@@ -36,11 +36,11 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws("/", "p_brand", "p_type").alias("file_path"),
         F.col("p_brand").alias("community"), F.when(F.col("p_size") % 3 == 0, "Class").when(F.col("p_size") % 3 == 1, "Function").otherwise("Method").alias("label"),
-        (F.col("p_retailprice") >= 1000).alias("is_exported"), F.col("p_partkey").alias("ord"))
+        (F.col("p_retailprice") >= 950).alias("is_exported"), F.col("p_partkey").alias("ord"))
 
 
 SYMBOLS = """sy AS (SELECT p_partkey AS id, p_name AS name, p_brand || '/' || p_type AS file_path, p_brand AS community,
-  CASE p_size % 3 WHEN 0 THEN 'Class' WHEN 1 THEN 'Function' ELSE 'Method' END AS label, p_retailprice >= 1000 AS is_exported, p_partkey AS ord FROM part)"""
+  CASE p_size % 3 WHEN 0 THEN 'Class' WHEN 1 THEN 'Function' ELSE 'Method' END AS label, p_retailprice >= 950 AS is_exported, p_partkey AS ord FROM part)"""
 
 
 def folders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import flow_queries, graph_queries, resolve_queries, search_queries, text_queries
+from . import flow_queries, graph_queries, resolve_queries, search_queries, text_queries, tool_queries
 
-_ALL = {**graph_queries.QUERIES, **search_queries.QUERIES, **resolve_queries.QUERIES, **flow_queries.QUERIES, **text_queries.QUERIES}
+_ALL = {**graph_queries.QUERIES, **search_queries.QUERIES, **resolve_queries.QUERIES, **flow_queries.QUERIES, **text_queries.QUERIES, **tool_queries.QUERIES}
 
 
 def queries():
