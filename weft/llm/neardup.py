@@ -39,7 +39,7 @@ SIMILAR = 0.8
 SKETCH_SIMILAR = 0.68  # 4.6 standard deviations under 0.8 with M registers
 STARS = 4
 BLOCK = 512
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -132,7 +132,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents with their failing lines taken out; columns as given, n_chars brought up to date."""
-    out = assess(docs).where(F.col("_weft_quality.kept"))
+    # a generator works the measures out once, where a filter would work them out again
+    out = assess(docs).withColumn("_weft_quality", F.explode(F.filter(F.array("_weft_quality"), lambda q: q["kept"])))
     columns = [F.col("_weft_quality.clean_text").alias("text") if c == "text"
                else F.length("_weft_quality.clean_text").cast("long").alias(c) if c == "n_chars"
                else F.col(f"`{c}`") for c in docs.columns]
