@@ -230,6 +230,57 @@ def test_communities(spark):
     assert all(0 <= v <= 1 for v in share.values())
 
 
+def modularity(pairs, group):
+    m2 = 2 * len(pairs)
+    k = {v: sum(v in p for p in pairs) for v in group}
+    same = sum(2 for a, b in pairs if group[a] == group[b]) / m2
+    return same - sum(sum(k[v] for v in group if group[v] == g) ** 2 for g in set(group.values())) / m2**2
+
+
+def every_partition(items):
+    if not items:
+        yield []
+        return
+    for rest in every_partition(items[1:]):
+        for k in range(len(rest)):
+            yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
+        yield [[items[0]], *rest]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sets(st.tuples(st.integers(0, 6), st.integers(0, 6)).filter(lambda p: p[0] < p[1]), min_size=3, max_size=14))
+def test_leiden_comes_near_the_best_modularity(pairs):
+    from weft.operators.leiden import leiden
+
+    nodes = sorted({v for p in pairs for v in p})
+    at = {v: k for k, v in enumerate(nodes)}
+    near = [{} for _ in nodes]
+    for a, b in pairs:
+        near[at[a]][at[b]] = near[at[b]][at[a]] = 1.0
+    got = leiden(near)
+    group = {v: got[at[v]] for v in nodes}
+    best = max(modularity(pairs, {v: k for k, part in enumerate(p) for v in part}) for p in every_partition(nodes))
+    assert modularity(pairs, group) >= best - 0.12  # a local optimum
+    for g in set(got):  # groups hang together
+        own = {k for k, x in enumerate(got) if x == g}
+        seen, todo = set(), [min(own)]
+        while todo:
+            k = todo.pop()
+            if k not in seen:
+                seen.add(k)
+                todo += [u for u in near[k] if u in own]
+        assert seen == own
+    assert leiden(near) == got
+
+
+def test_leiden_on_tables(spark):
+    ring = [(f"n{c}{i}", f"n{c}{j}") for c in range(4) for i in range(5) for j in range(i)] + [("n00", "n10"), ("n11", "n20"), ("n21", "n30")]
+    rows = spark.createDataFrame([*ring, *[(b, a) for a, b in ring]], "node string, other string")
+    nodes = rows.select("node").distinct().union(spark.createDataFrame([("alone",)], "node string"))
+    got = {r["node"]: r["label"] for r in community.communities(rows, nodes, method="leiden").collect()}
+    assert {n: f"n{n[1]}0" for n in got if n != "alone"} == {n: g for n, g in got.items() if n != "alone"} and got["alone"] == "alone"
+
+
 def test_folder_labels(spark):
     members = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 2), ("e", 2), ("f", 3)], "node string, label int")
     info = spark.createDataFrame([("a", "src/auth/x.py", "x"), ("b", "src/auth/y.py", "y"), ("c", "src/x.py", "userGet"), ("d", "lib/y.py", "userSet"), ("e", "z.py", "userX"), ("f", "f.py", "f")], "id string, file_path string, name string")

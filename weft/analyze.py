@@ -52,8 +52,8 @@ def analyze(files: DataFrame, config: Config = Config(), with_flows: bool = True
     if not with_flows:
         return out
     adj = materialise(community.adjacency(nodes, edges))
-    members = materialise(community.communities(adj, nodes.where(~F.col("label").isin(*community.NOT_SYMBOLS)).select(F.col("id").alias("node"))))
-    groups = materialise(community.describe(members, adj, nodes.select("id", "name")))
+    members = materialise(community.communities(adj, nodes.where(~F.col("label").isin(*community.NOT_SYMBOLS)).select(F.col("id").alias("node")), method="leiden"))
+    groups = materialise(community.describe(members, adj, nodes.select("id", "name"), community.LEIDEN))
     scored = flows.score_entries(nodes, edges.where("type = 'CALLS'"))
     scored = materialise(scored)
     reach = materialise(flows.bfs_flows(scored, edges.where("type = 'CALLS'")))

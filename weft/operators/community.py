@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from weft.functions.text import GENERIC_FOLDERS, capitalize, common_prefix, name_tokens
 from weft.session import materialise
 
+from .leiden import in_component
+
 ROUNDS = 12
 EDGE_TYPES = ("CALLS", "INHERITS", "EXTENDS", "IMPLEMENTS", "IMPORTS")
 NOT_SYMBOLS = ("File", "Folder", "Community", "Process")
 LARGE, LARGE_CONFIDENCE = 10_000, 0.5
 EXACT_NODES = 20_000
-LEIDEN_NOTE = "fallback-deterministic"
+PROPAGATION, LEIDEN = "fallback-deterministic", "leiden"
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame, types=EDGE_TYPES) -> DataFrame:
@@ -89,13 +91,23 @@ def _in_turn(table: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(list(label), table.schema.field("node").type), "label": pa.array(list(label.values()), table.schema.field("node").type)})
 
 
-def communities(adj: DataFrame, nodes: DataFrame, exact_nodes: int = EXACT_NODES) -> DataFrame:
-    """(node, label): propagation in turn inside components of up to exact_nodes nodes, one task a component; all at once in larger ones."""
+def communities(adj: DataFrame, nodes: DataFrame, exact_nodes: int = EXACT_NODES, method: str = "propagation", resolution: float = 1.0, iterations: int = 2) -> DataFrame:
+    """(node, label), one task a component of up to exact_nodes nodes: `leiden` by modularity, or `propagation` node by node.
+
+    Larger components go by propagation, all nodes at once, so no task holds more than exact_nodes nodes and their edges.
+    """
     comp = components(adj, nodes)
     sized = comp.join(comp.groupBy("comp").agg(F.count("*").alias("n")), "comp")
     small, large = sized.where(f"n <= {exact_nodes} and n > 1"), sized.where(f"n > {exact_nodes}")
     kind = dict(adj.dtypes)["node"]
-    turn = adj.join(small.select("node", "comp"), "node").groupBy("comp").applyInArrow(_in_turn_of_group, f"node {kind}, label {kind}")
+    one = _in_turn_of_group
+    if method == "leiden":
+        total = float(adj.where("node != other").count())  # both ways: twice the number of edges
+
+        def one(table: pa.Table) -> pa.Table:
+            return in_component(table.select(["node", "other"]), total, resolution, iterations)
+
+    turn = adj.join(small.select("node", "comp"), "node").groupBy("comp").applyInArrow(one, f"node {kind}, label {kind}")
     out = turn.union(sized.where("n = 1").select("node", F.col("node").alias("label")))
     if not large.isEmpty():
         out = out.union(propagate(adj.join(large.select("node"), "node", "left_semi"), large.select("node")))
@@ -106,7 +118,7 @@ def _in_turn_of_group(table: pa.Table) -> pa.Table:
     return _in_turn(table.select(["node", "other"]))
 
 
-def describe(members: DataFrame, adj: DataFrame, names: DataFrame) -> DataFrame:
+def describe(members: DataFrame, adj: DataFrame, names: DataFrame, found_by: str = PROPAGATION) -> DataFrame:
     """members: node, label. One row a community: id, name, heuristic_label, keywords, cohesion, symbol_count, description, members."""
     grouped = members.groupBy("label").agg(F.sort_array(F.collect_list("node")).alias("members"))
     order = Window.orderBy(F.col("members")[0])  # one row a community
@@ -121,7 +133,7 @@ def describe(members: DataFrame, adj: DataFrame, names: DataFrame) -> DataFrame:
         F.concat(F.lit("community_"), F.substring(F.sha2(F.array_join(F.transform("members", lambda m: m.cast("string")), "|"), 256), 1, 16)).alias("id"),
         "label", "name", F.coalesce(F.get("keywords", F.lit(0)), "name").alias("heuristic_label"), "keywords", "cohesion",
         F.size("members").alias("symbol_count"), F.concat(F.lit("Cluster of "), F.size("members"), F.lit(" related symbols")).alias("description"),
-        F.lit(LEIDEN_NOTE).alias("enriched_by"), "members")
+        F.lit(found_by).alias("enriched_by"), "members")
 
 
 def member_edges(described: DataFrame) -> DataFrame:

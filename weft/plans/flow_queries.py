@@ -133,5 +133,6 @@ SELECT 'proc_' || i || '_' || lower(regexp_replace(p[1], '[^a-zA-Z0-9]', '_', 'g
     "modal_folder_label": (lambda s, d: c.folder_label(_members(s, d), symbols(s, d)),
         f"WITH {SYMBOLS}, n AS (SELECT community AS label, split_part(file_path, '/', 1) AS folder, count(*) AS n FROM sy GROUP BY ALL) SELECT label, arg_min(upper(folder[1]) || folder[2:], (-n, folder)) AS heuristic_label FROM n GROUP BY label"),
     "label_propagation": (_lpa, None),
+    "leiden_communities": (lambda s, d: c.communities(_adj(s, d), symbols(s, d).select(F.col("id").alias("node")), method="leiden"), None),
     "communities_in_turn": (lambda s, d: c.communities(_adj(s, d), symbols(s, d).select(F.col("id").alias("node"))), None),
 }

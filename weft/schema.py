@@ -13,7 +13,7 @@ LABELS = (
 RELATIONS = ("CONTAINS", "DEFINES", "IMPORTS", "CALLS", "EXTENDS", "IMPLEMENTS", "MEMBER_OF", "STEP_IN_PROCESS")
 IMPACT_RELATIONS = ("CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS")
 
-_DDL = {
+SCHEMAS = {
     "files": "path string, language string, size bigint, is_binary boolean, content string",
     "nodes": "id string, name string, file_path string, start_line int, end_line int, language string, is_exported boolean, content string, description string, "
              "ast_fw_multiplier double, ast_fw_reason string, entry_point_score double, entry_point_reason string, ord bigint, label string",
@@ -28,8 +28,6 @@ _DDL = {
     "processes": "id string, label string, process_type string, step_count int, communities array<string>, entry string, terminal string",
     "embeddings": "node_id string, embedding array<float>",
 }
-SCHEMAS = _DDL
-
 
 def conform(frame: DataFrame, table: str) -> DataFrame:
     """The table's columns in order and type; missing ones are null, others go."""
