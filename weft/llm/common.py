@@ -48,8 +48,8 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about max_bytes of text (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part holds about max_bytes of text (one row at least): arrays made of a part stay small."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)

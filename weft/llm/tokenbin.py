@@ -92,7 +92,7 @@ def _tokenise(ranks):
         part, before = TaskContext.get().partitionId(), 0
         kind, empty = np.uint16 if end < 1 << 16 else np.uint32, np.zeros(0, np.uint32)
         for batch in batches:
-            for own in slices(batch, max_bytes=4 << 20):
+            for own in slices(batch, max_bytes=1 << 20):
                 tokens = [np.append(coder.encode_to_numpy(t, disallowed_special=()) if t else empty, end).astype(kind) for t in own.column(1).to_pylist()]
                 n = np.array([len(t) for t in tokens], np.int64)
                 yield pa.RecordBatch.from_arrays(
