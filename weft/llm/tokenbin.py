@@ -40,6 +40,7 @@ LENGTH, PER_SHARD = 1024, 16_384
 KEY = 0x5EEDC0DE
 ROUNDS = 4
 FLUSH = 16 << 20
+PACKED = 6  # compression level of tokens at rest and on the way
 
 
 def load_ranks(path: str = TOKENIZER) -> dict[bytes, int]:
@@ -116,7 +117,7 @@ def _pieces(offsets, order, length, per_shard, kind):
         tokens = tokens[np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
         ids, cut = np.unique(shard, return_index=True)
         cut, ends = np.append(cut, len(shard)), np.concatenate(([0], np.cumsum(sizes)))
-        rows = [zstandard.compress(b"".join((np.array([v - u], np.int64).tobytes(), place[u:v].tobytes(), sizes[u:v].tobytes(), tokens[ends[u] : ends[v]].tobytes())), 3)
+        rows = [zstandard.compress(b"".join((np.array([v - u], np.int64).tobytes(), place[u:v].tobytes(), sizes[u:v].tobytes(), tokens[ends[u] : ends[v]].tobytes())), PACKED)
                 for u, v in zip(cut[:-1], cut[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows, pa.binary())], names=["shard", "payload"])
 
@@ -187,7 +188,7 @@ def materialise_tokens(docs: DataFrame, out: str | None = None, tokenizer: str =
     end, kind = len(ranks), np.uint16 if len(ranks) < 1 << 16 else np.uint32
     schema = "doc_id long, part int, before long, n_tokens long, token_crc long, tokens binary"
     path = f"{out}/tokens"
-    docs.select("doc_id", "text").mapInArrow(_tokenise(spark.sparkContext.broadcast(ranks)), schema).write.option("compression", "zstd").parquet(path)
+    docs.select("doc_id", "text").mapInArrow(_tokenise(spark.sparkContext.broadcast(ranks)), schema).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", PACKED).parquet(path)
     tokens = spark.read.schema(schema).parquet(path)
     totals = sorted((r["part"], r["n"]) for r in tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # one row a task
     starts, total = {}, 0
