@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import WS
 
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = (  # without their first letters, which may be capitals
-    "icensed under", "eleased under", "ights reserved", "ights Reserved", "opyright", "rivacy policy", "nable javascript", "orem ipsum",
+BOILERPLATE = (  # in small letters, found in any case; "rights reserved" also without "all", "opyright" also in "(c)opyright"
+    "rights reserved", "licensed under", "released under", "opyright", "cookie policy", "privacy policy",
+    "terms of use", "terms of service", "subscribe to", "sign up", "log in", "click here", "enable javascript", "lorem ipsum",
 )
 SHOUT = "([A-Z]+[^a-zA-Z]+){6}"  # six runs of capitals with no small letter between them
 MIN_WORDS = 10
@@ -78,7 +79,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def boilerplate(text: Column) -> Column:
-    return reduce(or_, [F.contains(text, F.lit(p)) for p in BOILERPLATE])
+    return let(F.lower(text), lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE]))
 
 
 def line_fails(line: Column, suspect: Column) -> Column:
@@ -152,7 +153,9 @@ def _cut(expr: str, chars: str) -> str:
     return expr
 
 
-_PHRASES = " OR ".join(f"contains(x, '{p}')" for p in BOILERPLATE)
+# the statement as registered: fewer phrases than BOILERPLATE, without their first letters, case kept
+_SQL_PHRASES = ("icensed under", "eleased under", "ights reserved", "ights Reserved", "opyright", "rivacy policy", "nable javascript", "orem ipsum")
+_PHRASES = " OR ".join(f"contains(x, '{p}')" for p in _SQL_PHRASES)
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rn, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
