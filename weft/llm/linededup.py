@@ -1,13 +1,15 @@
 """Line dedup: winnowing over line hashes, and deletion of later repeated runs.
 
 A run is a stretch of consecutive lines (lines without a word are skipped over) of at least
-MIN_WORDS words in all. From every line starts one shortest run; of its line hashes the smallest,
-the last of equals, is selected as its fingerprint, so two copies of a run select the same
-fingerprints. Fingerprints that occur at one place only end there. At the others the match is
-extended both ways through the digests of the shortest runs that chose them: a longer repeated
-stretch is the union of such runs, so every place is held against the earliest place of its
-content and no pairs of places are listed. Every line of a run whose content occurs earlier, by
-(doc_id, line), is deleted.
+MIN_WORDS words in all. From every line starts one shortest run and at every line ends one; of a
+run's line hashes the smallest, the last of equals, is selected as its fingerprint, so two copies of
+a run select the same fingerprints. Fingerprints that occur at one place only end there. At the
+others the match is extended both ways through the digests of the shortest runs that chose them: a
+longer repeated stretch is the union of such runs (the one that starts with it reaches a line, or
+the one that ends at that line lies within), so every place is held against the earliest place of
+its content and no pairs of places are listed. Every line of a run, of any length, whose content
+occurs earlier, by (doc_id, line), is deleted. The SQL below knows only the runs that start at a
+line: it keeps the last lines of a repeat where fewer than MIN_WORDS words are left.
 
 Defined results: a null or empty text has no lines to delete; a null doc_id comes last in order;
 rows that agree in doc_id and text count as one document and get the same result; a run that
@@ -38,8 +40,10 @@ def runs(data: np.ndarray, words: int = MIN_WORDS):
     hashes = span_hashes(data, at[first], to[first + count - 1])  # of the line from its first word to its last
     upto = np.cumsum(count)
     last = np.searchsorted(upto, upto - count + words)
-    own = np.flatnonzero(last < len(lines))
-    last = last[own]
+    start = np.searchsorted(upto - count, upto - words, side="right") - 1  # of the shortest run that ends at the line
+    own, end = np.flatnonzero(last < len(lines)), np.flatnonzero(start >= 0)
+    pairs = np.unique(np.concatenate((own * len(lines) + last[own], start[end] * len(lines) + end)))
+    own, last = np.divmod(pairs, len(lines))
     digest, pick, place = np.zeros(len(own), np.uint64), np.full(len(own), np.iinfo(np.uint64).max), np.zeros(len(own), np.int64)
     step = 0
     while True:  # as often as the longest shortest run has lines
