@@ -155,3 +155,41 @@ def test_neighbours_are_exact(spark, monkeypatch):
             assert np.allclose(score, [w for w in want if w > 1e-9][:10], atol=1e-5)
             assert np.allclose(score, [sum(x * vectors[model.ids[k]].get(t, 0.0) for t, x in own.items()) for k in top], atol=1e-5)
         assert without <= 4
+
+
+def test_language_sample_with_one_doc_id(spark):
+    """All doc_ids null, one doc_id for many repeated rows, and a very long text: nothing fails, every language has its examples."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text", "lang")
+    nulls = docs.selectExpr("cast(null as long) AS doc_id", "text", "lang")
+    assert langid.fit(nulls) is not None
+    got = langid.language_id(nulls).where("lang_pred != 'und'").count()
+    assert got >= docs.where("text rlike '[a-z]'").count() * 0.9
+    hot = spark.range(100_000).selectExpr("6L AS doc_id", "'the same text over and over' AS text", "'en' AS lang")
+    long = spark.createDataFrame([(3, "eine sehr lange Zeile " * 200_000, "de")], "doc_id long, text string, lang string")
+    sample = langid.training_sample(hot.union(long).union(nulls.where("lang = 'en'"))).collect()
+    by = collections.Counter(r["lang"] for r in sample)
+    different = nulls.where("lang = 'en' and text is not null").select("text").distinct().count()
+    assert by["de"] == 1 and by["en"] == min(langid.DOCS_PER_CLASS, different + 1)
+    assert all(len(r["windows"]) <= langid.WINDOWS_PER_DOC * langid.WINDOW for r in sample)
+
+
+def test_language_scores_by_brute_force(spark):
+    """Averaged windows of the network, by plain loops over bytes, filters and places."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    net = langid.fit(docs)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    got = {r["doc_id"]: r for r in langid.language_id(docs).where("lang_pred != 'und'").collect()}
+    for r in docs.where("length(text) between 10 and 700").orderBy("doc_id").limit(12).collect():
+        data = r["text"].encode()
+        starts = [min(k * langid.WINDOW, max(0, len(data) - langid.WINDOW)) for k in range(max(1, -(-len(data) // langid.WINDOW)))]
+        total = np.zeros(len(net.labels))
+        for at in starts:
+            x = list(data[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0"))
+            hidden = []
+            for w in langid.WIDTHS:
+                out = [sum(p["e"][x[i + j]] @ p[f"k{w}"][j] for j in range(w)) for i in range(langid.WINDOW - w + 1)]
+                hidden += list(np.maximum(np.max(out, axis=0) + p[f"b{w}"], 0))
+            z = np.exp(np.array(hidden) @ p["v"] + p["c"])
+            total += z / z.sum() / len(starts)
+        if r["doc_id"] in got:
+            assert got[r["doc_id"]]["lang_pred"] == net.labels[total.argmax()] and abs(got[r["doc_id"]]["score"] - total.max()) < 1e-3

@@ -1,16 +1,17 @@
 """Language ID: a byte convolutional network in numpy.
 
 Byte embeddings, filters of several widths, ReLU and max pooling over a window, then softmax. It
-is trained on a bounded sample: at most DOCS_PER_CLASS documents a language (fewer where there
-are more than MAX_TRAIN_DOCS / DOCS_PER_CLASS languages) outside the held-out quarter, those with
-the smallest hash of doc_id, at most WINDOWS_PER_DOC windows of each. A whole text is cut into
-windows of WINDOW bytes (the last one moved back to end with the text) and its windows'
+is trained on a bounded sample: at most DOCS_PER_CLASS different documents a language (fewer where
+there are more than MAX_TRAIN_DOCS / DOCS_PER_CLASS languages) outside the held-out quarter, those
+with the smallest hash of doc_id and text, at most WINDOWS_PER_DOC windows of each. The windows are
+cut where the text lies; only they reach the driver. A whole text is cut into windows of WINDOW bytes (the last one moved back to end with the text) and its windows'
 probabilities are averaged. At prediction the embedding and the filters are folded into one table
 a filter offset, so that a convolution is a sum of table rows.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without training
-rows every text is `und`; rows that repeat are predicted alike; only doc_id, text and lang are
-read, lang for training alone.
+rows every text is `und`; rows that agree in doc_id and text count once in training and are
+predicted alike, so one doc_id for all rows (or null) leaves the sample as wide as the texts are; the
+model's size is 36 numbers a language; only doc_id, text and lang are read, lang for training alone.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, raw, slices, table
@@ -129,30 +130,68 @@ class ByteCnn:
         return self.freeze()
 
 
+def drawn(text: bytes, seed: int) -> np.ndarray:
+    """Up to WINDOWS_PER_DOC windows of one text, at places drawn by the seed; one of several is cut short, for short texts."""
+    rng = np.random.default_rng(seed)
+    size = len(text)
+    n = max(1, -(-size // WINDOW))
+    first = min(size, WINDOW)
+    chosen = rng.permutation(n)[:WINDOWS_PER_DOC] if n <= 1 << 16 else rng.choice(n, WINDOWS_PER_DOC, replace=False)
+    out = np.zeros((len(chosen), WINDOW), np.uint8)
+    for row, k in zip(out, chosen, strict=True):
+        at = min(int(k) * WINDOW, max(0, size - WINDOW))
+        row[:first] = np.frombuffer(text, np.uint8, first, at)
+    if len(out) > 1:
+        out[0, rng.integers(12, WINDOW) :] = 0
+    return out
+
+
+def _sample(quota: int):
+    """Of each language in a task, the windows of the `quota` different documents with the smallest draw."""
+    def rows(batches):
+        held: dict[str, dict[int, bytes]] = {}
+        for batch in batches:
+            langs, draws, texts = (batch.column(k) for k in range(3))
+            for k in range(batch.num_rows):
+                own, draw = held.setdefault(langs[k].as_py(), {}), draws[k].as_py()
+                if draw in own or len(own) >= 2 * quota and draw > max(own):
+                    continue
+                own[draw] = drawn(texts[k].as_buffer().to_pybytes() if texts[k].is_valid else b"", draw & 0xFFFFFFFF).tobytes()
+                if len(own) > 4 * quota:
+                    for d in sorted(own)[quota:]:
+                        del own[d]
+        found = [(lang, d, own[d]) for lang, own in held.items() for d in sorted(own)[:quota]]
+        lang, draw, x = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(draw, pa.int64()), pa.array(x, pa.binary())], names=["lang", "draw", "windows"])
+
+    return rows
+
+
+def training_sample(docs: DataFrame) -> DataFrame:
+    """lang, draw, windows: of each language the different documents with the smallest draws, at most the quota."""
+    draw = F.xxhash64("doc_id", "text", F.lit("train"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(crc_mod(4) != 2).select("lang", draw.alias("draw"), "text")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("draw", 0.03).alias("n")).collect()}  # one row a language
+    quota = max(1, min(DOCS_PER_CLASS, MAX_TRAIN_DOCS // max(1, len(sizes))))
+    few = {lang: min(1.0, (2 * quota + 40) / max(1, n)) for lang, n in sizes.items()}  # share of the draws that is sure to hold the quota
+    if sizes:
+        top = F.element_at(F.create_map(*[F.lit(x) for lang, share in few.items() for x in (lang, share)]), F.col("lang"))
+        known = known.where(F.shiftrightunsigned("draw", 11) < top * float(1 << 53))
+    found = known.withColumn("draw", F.shiftrightunsigned("draw", 1)).mapInArrow(_sample(quota), "lang string, draw long, windows binary")
+    found = found.groupBy("lang", "draw").agg(F.min("windows").alias("windows"))
+    for part in ([F.pmod("draw", F.lit(64))], []):  # two steps, so that no task ranks a language alone
+        found = found.withColumn("_at", F.row_number().over(Window.partitionBy("lang", *part).orderBy("draw"))).where(F.col("_at") <= quota).drop("_at")
+    return found
+
+
 def fit(docs: DataFrame) -> ByteCnn | None:
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(crc_mod(4) != 2)
-    counts = sorted((r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect())
-    if not counts:
+    rows = sorted((r["lang"], r["draw"], bytes(r["windows"])) for r in training_sample(docs).collect())  # MAX_TRAIN_DOCS, or one a language
+    if not rows:
         return None
-    quota = max(1, min(DOCS_PER_CLASS, MAX_TRAIN_DOCS // len(counts)))
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("train")), 33) / float(1 << 31)
-    share = F.element_at(F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(min(1.0, 1.5 * quota / n)))]), F.col("lang"))
-    rows = known.where(draw < share).select("lang", draw.alias("draw"), "doc_id", "text").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["draw"], r["doc_id"] or 0, r["text"]))
-    labels, xs, ys, used = [lang for lang, _ in counts], [], [], {}
-    rng = np.random.default_rng(3)
-    for r in rows:
-        if used.setdefault(r["lang"], 0) >= quota:
-            continue
-        used[r["lang"]] += 1
-        data = np.frombuffer(r["text"].encode(), np.uint8)
-        x, _ = windows(data, np.array([0, len(data)]))
-        x = x[rng.permutation(len(x))[:WINDOWS_PER_DOC]]
-        if len(x) > 1:  # one of them cut short, for short texts
-            x = x.copy()
-            x[0, rng.integers(12, WINDOW) :] = 0
-        xs.append(x)
-        ys.append(np.full(len(x), labels.index(r["lang"])))
+    labels = sorted({lang for lang, _, _ in rows})
+    place = {lang: k for k, lang in enumerate(labels)}
+    xs = [np.frombuffer(x, np.uint8).reshape(-1, WINDOW) for _, _, x in rows]
+    ys = [np.full(len(x), place[lang]) for (lang, _, _), x in zip(rows, xs, strict=True)]
     return ByteCnn(labels).train(np.concatenate(xs), np.concatenate(ys))
 
 
