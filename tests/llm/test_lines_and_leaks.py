@@ -45,10 +45,24 @@ def test_search_returns_all_segments_over_the_threshold():
 
 
 def test_a_benchmark_of_several_blocks(spark, monkeypatch):
+    """Twenty blocks, each index made and given up in turn: the rows of one block, whatever the size."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet").union(spark.createDataFrame([(None, "no such words anywhere")], "item_id long, text string"))
     whole = sorted(map(tuple, decontaminate.find_leaks(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
-    assert sorted(map(tuple, decontaminate.find_leaks(docs, items).collect())) == whole
+    sizes, made = [], decontaminate.ItemIndex.__init__
+    for blocks in (3, 20):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", -(-items.count() // blocks))
+        monkeypatch.setattr(decontaminate.ItemIndex, "__init__", lambda self, rows, stats=None: (sizes.append(len(rows)), made(self, rows, stats))[1])
+        assert sorted(map(tuple, decontaminate.find_leaks(docs, items).collect())) == whole
+    assert len(sizes) > 12 and sum(sizes[3:]) == items.distinct().count() and max(sizes[3:]) < items.count() / 3
     clean = decontaminate.decontaminate(docs, items)
     assert clean.columns == docs.columns and clean.count() == sum(not r[1] for r in whole)
+
+
+def test_short_and_unnamed_items(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x Two words y"), (2, "two y words"), (3, "a b c d e"), (4, "z a b c d e z"), (5, "yes"), (None, "two words")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "two words"), (2, "A b c d e"), (None, "yes"), (None, "yes"), (2, "A b c d e")], "item_id long, text string")
+    want = {1: (True, 1, "1"), 2: (False, 0, ""), 3: (True, 1, "2"), 4: (True, 1, "2"), 5: (True, 1, ""), None: (True, 1, "1")}
+    for most in (20_000, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", most)
+        assert {r[0]: tuple(r[1:4]) for r in decontaminate.find_leaks(docs, items).collect()} == want

@@ -10,12 +10,17 @@ then held against the whole document: 5-word shingles of its question (all but t
 of its words) and of its answer (the last quarter, with four words before it) must both be there
 to OVERLAP.
 
-The item table is worked through in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS
-characters of text, each broadcast in turn, so a large benchmark costs more passes, not memory.
+The item table is worked through in blocks of about BLOCK_ITEMS items and BLOCK_CHARS characters
+of text. Document frequencies, the number of segments and their mean length are those of the whole
+table, so what is retrieved does not depend on the blocks. Several blocks are broadcast one after
+the other; each pass writes the leaks it finds to the shared folder and its index is given up before
+the next is made, so a large benchmark costs more passes, not memory.
 
-Defined results: null or empty texts are clean; items without words are ignored; an item of
-under five words is one shingle; rows that repeat are judged alike and all returned; only doc_id,
-text and item_id are read.
+Defined results: null or empty texts are clean; items without words are ignored; an item whose
+question has under five words (one of up to five words) leaks where all its words stand together; an
+item with a null item_id counts like any other, and all of them as one in n_items, but its id is not
+listed; rows of the benchmark that repeat count once; documents that repeat are judged alike and
+all returned; only doc_id, text and item_id are read.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, hashed_words, shingles, slices, table
+from .common import WORD, hashed_words, save, shingles, slices, table
 
 SEGMENT, PASSAGE = 64, 128
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 1 << 26
@@ -35,34 +40,47 @@ PER_BLOCK = 8  # segments under one block maximum
 K1, B = 1.2, 0.75
 SCORE_SHARE = 0.4
 OVERLAP = 0.5
+FEW_LEAKS = 200_000  # documents whose leaks may be broadcast
+_IDS = "array<long>"
+
+
+def segments(own: np.ndarray) -> list[np.ndarray]:
+    """An item's words in pieces of SEGMENT; a short rest stays with the last piece."""
+    cuts = range(0, max(1, len(own) - SEGMENT // 2), SEGMENT) if len(own) else ()
+    return [own[lo : lo + SEGMENT] if lo + SEGMENT * 3 // 2 < len(own) else own[lo:] for lo in cuts]
 
 
 class ItemIndex:
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], statistics=None) -> None:
+        """statistics: (segments, their mean length, terms, in how many segments each is) of the whole benchmark; by default of these items."""
         words, ptr = hashed_words(pa.array([t or "" for _, t in items], pa.string()), lower=True)
-        self.ids, segments, of = [i for i, _ in items], [], []
-        self.question, self.answer = [], []
+        self.ids, parts, of = [i for i, _ in items], [], []
+        self.question, self.answer, self.whole = [], [], []
         for k in range(len(items)):
             own = words[ptr[k] : ptr[k + 1]]
-            cuts = range(0, max(1, len(own) - SEGMENT // 2), SEGMENT)
-            for lo in cuts if len(own) else ():
-                segments.append(own[lo : lo + SEGMENT] if lo + SEGMENT * 3 // 2 < len(own) else own[lo:])
-                of.append(k)
+            pieces = segments(own)
+            parts += pieces
+            of += [k] * len(pieces)
             cut = len(own) - max(1, len(own) // 4)
-            self.question.append(np.unique(shingles(own[:cut], np.array([0, cut]))[0]))
+            self.question.append(np.unique(shingles(own[:cut], np.array([0, max(0, cut)]))[0]))
             tail = own[max(0, cut - 4) :]
             self.answer.append(np.unique(shingles(tail, np.array([0, len(tail)]))[0]))
+            self.whole.append((len(own), shingles(own, np.array([0, len(own)]), len(own))[0][0]) if 0 < len(own) and cut < 5 else None)
         self.of = np.array(of, np.int64)
-        n = len(segments)
-        doc = np.repeat(np.arange(n), [len(s) for s in segments])
-        terms = np.concatenate(segments) if n else np.zeros(0, np.uint64)
+        n = len(parts)
+        doc = np.repeat(np.arange(n), [len(s) for s in parts])
+        terms = np.concatenate(parts) if n else np.zeros(0, np.uint64)
         self.vocabulary, term = np.unique(terms, return_inverse=True)
         pair, tf = np.unique(term * max(n, 1) + doc, return_counts=True)
         t, d = pair // max(n, 1), pair % max(n, 1)
-        df = np.bincount(t, minlength=len(self.vocabulary))
         length = np.bincount(doc, minlength=n)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(1e-9, length.mean() if n else 1))
+        if statistics is None:
+            total, mean, df = n, length.mean() if n else 1, np.bincount(t, minlength=len(self.vocabulary))
+        else:
+            total, mean, known, count = statistics
+            df = count[np.searchsorted(known, self.vocabulary)] if n else np.zeros(0)
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * length / max(1e-9, mean))
         weight = idf[t] * tf * (K1 + 1) / (tf + norm[d])
         own_score = np.bincount(d, weight, minlength=n)
         self.needs = SCORE_SHARE * own_score
@@ -143,18 +161,66 @@ class ItemIndex:
             if grams is None:
                 grams, gram_ptr = shingles(words, ptr)
             own = grams[gram_ptr[k] : gram_ptr[k + 1]]
-            share = min([float(np.isin(part, own).mean()) for part in (self.question[item], self.answer[item]) if len(part)])
+            if self.whole[item]:
+                length, print_ = self.whole[item]
+                text_words = words[ptr[k] : ptr[k + 1]]
+                share = float((shingles(text_words, np.array([0, len(text_words)]), length)[0] == print_).any())
+            else:
+                share = min([float(np.isin(part, own).mean()) for part in (self.question[item], self.answer[item]) if len(part)])
             if share >= OVERLAP:
                 out[k].append((self.ids[item], share))
         return out
 
 
-def _blocks(items: DataFrame):
+def _term_counts(batches):
+    """(term, segments that hold it, -) of a task; one row without a term has the segments and their words."""
+    held, n, words = [], 0, 0
+    for batch in batches:
+        for part in slices(batch, "text"):
+            h, ptr = hashed_words(part.column(1), lower=True)
+            for a, b in zip(ptr[:-1], ptr[1:], strict=True):
+                pieces = segments(h[a:b])
+                n, words = n + len(pieces), words + int(b - a)
+                held += [np.unique(p) for p in pieces]
+            if len(held) > 10_000:
+                yield _counted(held)
+                held = []
+    yield _counted(held)
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64()), pa.array([words], pa.int64())], names=["term", "n", "words"])
+
+
+def _counted(held):
+    u, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.zeros(len(u), np.int64))], names=["term", "n", "words"])
+
+
+def _block_terms(batches):
+    for batch in batches:
+        for part in slices(batch, "text"):
+            u = np.unique(hashed_words(part.column(1), lower=True)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64))], names=["term"])
+
+
+def indexes(items: DataFrame):
+    """The blocks' indexes, one after the other; yields their number first."""
+    items = items.distinct()
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    parts = max(1, math.ceil(n / BLOCK_ITEMS), math.ceil(chars / BLOCK_CHARS))
-    for k in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
-        yield sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (r[0], r[1]))
+    parts = max(math.ceil(n / BLOCK_ITEMS), math.ceil(chars / BLOCK_CHARS))
+    yield parts
+    ordered = lambda rows: sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    if parts == 1:
+        yield ItemIndex(ordered(items.collect()))
+    elif parts:
+        items = save(items, "items")
+        counts = save(items.mapInArrow(_term_counts, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "terms")
+        total = counts.where("term is null").first()
+        for k in range(parts):
+            own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+            terms = own.mapInArrow(_block_terms, "term long").distinct()
+            known = counts.join(terms, "term", "left_semi").select("term", "n").toArrow()
+            term, count = known.column("term").to_numpy().view(np.uint64), known.column("n").to_numpy()
+            order = np.argsort(term)
+            yield ItemIndex(ordered(own.collect()), (total["n"], total["words"] / max(1, total["n"]), term[order], count[order]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -165,33 +231,61 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").rlike(WORD))
-    out = docs.withColumns({"_weft_items": F.array().cast("array<long>"), "_weft_overlap": F.lit(0.0)})
-    for own in _blocks(items):
-        out = _pass(out, own)
-    return out
+    """The documents with _weft_items, an array of ids in order, and _weft_overlap."""
+    blocks = indexes(benchmark.select("item_id", "text").where(F.col("text").rlike(WORD)))
+    parts = next(blocks)
+    none = F.array().cast(_IDS)
+    if not parts:
+        return docs.withColumns({"_weft_items": none, "_weft_overlap": F.lit(0.0)})
+    send = docs.sparkSession.sparkContext.broadcast
+    if parts == 1:
+        names = docs.columns
+        marked = docs.withColumns({"_weft_items": none, "_weft_overlap": F.lit(0.0)})
+        return marked.mapInArrow(_mark(send(next(blocks)), names.index("text"), len(names)), marked.schema)
+    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    keyed, hits = docs.select("doc_id", key.alias("md5"), "text"), None
+    for index in blocks:
+        shared = send(index)
+        found = save(keyed.mapInArrow(_hits(shared), "_weft_id long, _weft_md5 binary, item long, share double").distinct(), "leaks")
+        shared.destroy()
+        hits = found if hits is None else hits.union(found)
+    leaks = save(hits.groupBy("_weft_id", "_weft_md5").agg(  # a document holds few items
+        F.array_sort(F.collect_set("item")).alias("ids"), F.bool_or(F.col("item").isNull()).alias("unnamed"), F.max("share").alias("_weft_overlap")), "leaks")
+    side = F.broadcast(leaks) if leaks.limit(FEW_LEAKS + 1).count() <= FEW_LEAKS else leaks
+    out = docs.withColumn("_weft_key", key).join(side, F.col("doc_id").eqNullSafe(F.col("_weft_id")) & (F.col("_weft_key") == F.col("_weft_md5")), "left")
+    ids = F.when(F.col("unnamed"), F.concat("ids", F.array(F.lit(None).cast("long")))).otherwise(F.col("ids"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(ids, none).alias("_weft_items"), F.coalesce("_weft_overlap", F.lit(0.0)).alias("_weft_overlap"))
 
 
-def _pass(docs: DataFrame, items) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(items))
-    names = docs.columns
-    text_at = names.index("text")
-
+def _mark(shared, text_at: int, at: int):
+    """Fill in the last two columns."""
     def rows(batches):
         index = shared.value
         for batch in batches:
             for part in slices(batch):
-                words, ptr = hashed_words(part.column(text_at), lower=True)
-                found = index.leaks(words, ptr)
+                found = index.leaks(*hashed_words(part.column(text_at), lower=True))
                 if any(found):
-                    had, best = part.column(len(names) - 2).to_pylist(), part.column(len(names) - 1).to_pylist()
-                    ids = [sorted({*a, *[i for i, _ in b]}) for a, b in zip(had, found, strict=True)]
-                    best = [max([a, *[s for _, s in b]]) for a, b in zip(best, found, strict=True)]
-                    part = part.set_column(len(names) - 2, part.schema.field(len(names) - 2), pa.array(ids, part.schema.field(len(names) - 2).type))
-                    part = part.set_column(len(names) - 1, part.schema.field(len(names) - 1), pa.array(best, pa.float64()))
+                    ids = [sorted({i for i, _ in own}, key=lambda i: (i is None, i or 0)) for own in found]
+                    part = part.set_column(at, part.schema.field(at), pa.array(ids, part.schema.field(at).type))
+                    part = part.set_column(at + 1, part.schema.field(at + 1), pa.array([max([0.0, *[x for _, x in own]]) for own in found], pa.float64()))
                 yield part
 
-    return docs.mapInArrow(rows, docs.schema)
+    return rows
+
+
+def _hits(shared):
+    """Rows (doc_id, md5, item, share) of one block's leaks."""
+    def rows(batches):
+        index = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                found = index.leaks(*hashed_words(part.column(2), lower=True))
+                at = pa.array(np.repeat(np.arange(part.num_rows), [len(own) for own in found]), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(at), part.column(1).take(at), pa.array([i for own in found for i, _ in own], pa.int64()),
+                     pa.array([x for own in found for _, x in own], pa.float64())], names=["_weft_id", "_weft_md5", "item", "share"])
+
+    return rows
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -208,11 +302,11 @@ def op10(spark, sf_dir) -> DataFrame:
 _SHINGLES = """SELECT k, unnest(CASE WHEN len(ws) >= 5
   THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) ELSE [array_to_string(ws, ' ')] END) AS g"""
 SQL = f"""
-WITH b AS (SELECT item_id AS k, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws
-        FROM benchmark WHERE item_id IS NOT NULL AND regexp_matches(text, '{WORD}')),
-c AS (SELECT k, ws, len(ws) - greatest(1, len(ws) // 4) AS cut FROM b),
-q AS (SELECT DISTINCT k, 'q' AS part, g FROM ({_SHINGLES} FROM (SELECT k, ws[1:cut] AS ws FROM c WHERE cut > 0))),
-a AS (SELECT DISTINCT k, 'a' AS part, g FROM ({_SHINGLES} FROM (SELECT k, ws[greatest(1, cut - 3):] AS ws FROM c))),
+WITH b AS (SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws
+        FROM (SELECT DISTINCT item_id, text FROM benchmark) WHERE regexp_matches(text, '{WORD}')),
+c AS (SELECT k, item_id, ws, len(ws) - greatest(1, len(ws) // 4) AS cut FROM b),
+q AS (SELECT DISTINCT k, 'q' AS part, g FROM ({_SHINGLES} FROM (SELECT k, ws[1:cut] AS ws FROM c WHERE cut >= 5))),
+a AS (SELECT DISTINCT k, 'a' AS part, g FROM ({_SHINGLES} FROM (SELECT k, ws[greatest(1, cut - 3):] AS ws FROM c WHERE cut >= 5))),
 i AS (SELECT * FROM q UNION ALL SELECT * FROM a),
 n AS (SELECT k, part, count(*) AS n FROM i GROUP BY ALL),
 d AS (SELECT row_number() OVER () AS k, doc_id,
@@ -226,8 +320,11 @@ h AS (SELECT s.k AS doc, i.k AS item, i.part, count(DISTINCT s.g) AS hits FROM s
 r AS (SELECT doc, item, min(share) AS share FROM (
         SELECT m.doc, n.k AS item, coalesce(h.hits, 0) / n.n AS share
         FROM (SELECT DISTINCT doc, item FROM h) m JOIN n ON n.k = m.item
-        LEFT JOIN h ON h.doc = m.doc AND h.item = n.k AND h.part = n.part) GROUP BY doc, item HAVING min(share) >= {OVERLAP})
-SELECT d.doc_id, count(r.item) > 0 AS contaminated, count(r.item) AS n_items,
-  coalesce(string_agg(CAST(r.item AS VARCHAR), ',' ORDER BY r.item), '') AS items, coalesce(max(r.share), 0.0) AS overlap
-FROM d LEFT JOIN r ON r.doc = d.k GROUP BY d.k, d.doc_id
+        LEFT JOIN h ON h.doc = m.doc AND h.item = n.k AND h.part = n.part) GROUP BY doc, item HAVING min(share) >= {OVERLAP}
+      UNION ALL SELECT d.k, c.k, 1.0 FROM (SELECT * FROM c WHERE cut < 5) c
+        JOIN d ON contains(' ' || array_to_string(d.ws, ' ') || ' ', ' ' || array_to_string(c.ws, ' ') || ' ')),
+f AS (SELECT r.doc, c.item_id, max(share) AS share FROM r JOIN c ON c.k = r.item GROUP BY ALL)
+SELECT d.doc_id, count(f.share) > 0 AS contaminated, count(f.share) AS n_items,
+  coalesce(string_agg(CAST(f.item_id AS VARCHAR), ',' ORDER BY f.item_id), '') AS items, coalesce(max(f.share), 0.0) AS overlap
+FROM d LEFT JOIN f ON f.doc = d.k GROUP BY d.k, d.doc_id
 """
