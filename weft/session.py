@@ -23,12 +23,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir as the cluster set it,
-    or a temporary one where it is unset (local mode only)."""
+    or a temporary one where it is unset and driver and executors are one process."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
         jsc_dir = spark.sparkContext.getCheckpointDir()
         have = jsc_dir.rsplit("/", 1)[0] if jsc_dir else None
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         have = "file://" + tempfile.mkdtemp(prefix="weft-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(have)
