@@ -4,6 +4,8 @@ import collections
 import os
 import sys
 
+import numpy as np
+
 from weft.llm import neardup
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -75,8 +77,6 @@ def test_one_of_each_class_stays(spark):
 
 
 def test_signatures_estimate_similarity():
-    import numpy as np
-
     doc, gram, weight = [], [], []
     for d, shift in enumerate((0, 100)):  # weights 1..4, overlap 0.8 of 1000
         for g in range(1000):
@@ -88,3 +88,44 @@ def test_signatures_estimate_similarity():
     keys = set(bags[0]) | set(bags[1])
     truth = sum(min(bags[0].get(k, 0), bags[1].get(k, 0)) for k in keys) / sum(max(bags[0].get(k, 0), bags[1].get(k, 0)) for k in keys)
     assert abs((a == b).mean() - truth) < 0.1
+
+
+def test_hot_keys_give_the_same_classes(spark, monkeypatch):
+    """With every key above one row counted as hot, and with two of them at most."""
+    from weft.llm import common
+
+    rng = np.random.default_rng(11)
+    base = [[f"w{x}" for x in rng.integers(0, 500, 60)] for _ in range(6)]
+    rows = []
+    for k in range(150):
+        own = list(base[k % 3 if k < 120 else k % 6])
+        if k % 4:
+            own[int(rng.integers(0, 60))] = f"z{k}"
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, neardup.near_duplicates(df).collect()))
+    for keys in (1024, 2):
+        monkeypatch.setattr(common, "HOT_ROWS", 1)
+        monkeypatch.setattr(common, "HOT_KEYS", keys)
+        assert sorted(map(tuple, neardup.near_duplicates(df).collect())) == plain
+
+
+def test_rows_that_differ_in_other_columns_only(spark):
+    """The row kept does not depend on the order or the partitions."""
+    text = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(1, text, f"s{k}", k) for k in range(20)] + [(2, text + " more", "s", 1)], "doc_id long, text string, source string, n_chars long")
+    kept = [[tuple(r) for r in neardup.drop_near_duplicates(d).collect()] for d in (df, df.repartition(5), df.orderBy("n_chars", ascending=False).coalesce(1))]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] == kept[2]
+
+
+def test_saved_tables_can_be_dropped(spark):
+    import os
+
+    from weft.llm import common
+
+    saved = common.save(spark.range(5), "small")
+    path = saved._weft_path.removeprefix("file://").removeprefix("file:")
+    assert saved.count() == 5 and os.path.isdir(path)
+    common.drop(saved)
+    common.drop(saved)
+    assert not os.path.exists(path)

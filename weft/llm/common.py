@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,11 +138,64 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors, keeps columns apart."""
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors, keeps columns apart.
+
+    The table goes when `drop` is called on it, or else when the driver's process ends.
+    """
     from uuid import uuid4
 
     from weft.session import shared_dir
 
-    path = f"{shared_dir(df.sparkSession)}/weft-{name}-{uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/weft-{name}-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _saved:
+        atexit.register(_clear)
+    _saved[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+_saved: dict[str, SparkSession] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sparkContext().hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete saved tables that no later table is made of any more."""
+    for table_ in tables:
+        path = getattr(table_, "_weft_path", None)
+        if path in _saved:
+            _remove(_saved.pop(path), path)
+
+
+def _clear() -> None:
+    for path, spark in _saved.items():
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            _remove(spark, path)
+
+
+HOT_ROWS, HOT_KEYS = 2_000, 1_024
+
+
+def hot_rows(right: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """The keys that the most rows have, HOT_KEYS at most, each with more than HOT_ROWS: small enough to broadcast."""
+    return save(right.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n), key).limit(HOT_KEYS).select(key), "hot")
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str = "n", hot: DataFrame | None = None) -> DataFrame:
+    """Inner join on a key that is unique in `right`, a saved table whose column n says how many rows of `left` have it.
+
+    Rows with one of the commonest keys stay where they are and meet a broadcast of those keys' rows; the others
+    are shuffled, and no key among them has more than one in HOT_KEYS of all rows, or HOT_ROWS.
+    """
+    hot = hot_rows(right, key, n) if hot is None else hot
+    if hot.isEmpty():
+        return left.join(right, key)
+    few = F.broadcast(hot)
+    rest = left.join(few, key, "left_anti").join(right.join(few, key, "left_anti"), key)
+    return left.join(F.broadcast(right.join(few, key)), key).unionByName(rest)

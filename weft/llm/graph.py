@@ -5,20 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import drop, hot_rows, join_hot, save
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links: (a, b). Returns (node, comp), comp the smallest node of the component; nodes without links are absent."""
-    edges = save(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = save(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")), "labels")
+def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """links: (a, b). Returns (node, comp), comp the smallest node of the component; nodes without links are absent.
+
+    start: (node, comp) of earlier links, all of which are still among these; their labels are taken up.
+    """
+    edges = save(links.select("a", "b").union(links.select("b", "a")).distinct().select("a", F.col("b").alias("node")), "edges")
+    labels = edges.groupBy("node").agg(F.count("*").alias("n"), F.least(F.min("a"), F.first("node")).alias("comp"))
+    if start is not None:
+        labels = labels.join(start.select("node", F.col("comp").alias("had")), "node", "left").select("node", "n", F.least("comp", F.coalesce("had", "comp")).alias("comp"))
+    labels = save(labels, "labels")
+    hot = hot_rows(labels, "node")  # the centres of large stars
     while True:
-        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("comp").alias("seen"))
+        near = join_hot(edges, labels, "node", hot=hot).groupBy("a").agg(F.min("comp").alias("seen"))
         step = labels.join(near, labels.node == near.a, "left").select(
-            "node", F.col("comp").alias("old"), F.least("comp", F.coalesce("seen", "comp")).alias("mid"))
+            "node", "n", F.col("comp").alias("old"), F.least("comp", F.coalesce("seen", "comp")).alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("beyond"))
         after = save(step.join(jump, "mid", "left").select(
-            "node", "old", F.least("mid", F.coalesce("beyond", "mid")).alias("comp")), "labels")
-        labels = after.select("node", "comp")
+            "node", "n", "old", F.least("mid", F.coalesce("beyond", "mid")).alias("comp")), "labels")
+        drop(labels)
+        labels = after
         if after.where(F.col("old") != F.col("comp")).isEmpty():
-            return labels
+            drop(edges, hot)
+            return labels.select("node", "comp")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, raw, save, slices, table, word_bounds
+from .common import drop, join_hot, mix64, raw, save, slices, table, word_bounds
 
 MIN_WORDS = 30
 _NL = 10
@@ -113,12 +113,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     """Later runs, one row a document that has some: _weft_id, _weft_md5, ranges as an array of (lo, hi)."""
     keyed = docs.select("doc_id", "text", _text_key().alias("md5"))
     found = save(keyed.mapInArrow(_fingerprints, "doc_id long, md5 binary, fingerprint long, windows binary"), "fingerprints")
-    shared = found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    matched = found.join(shared, "fingerprint", "left_semi").select("doc_id", "md5", "windows")
+    shared = save(found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    matched = join_hot(found, shared, "fingerprint").select("doc_id", "md5", "windows")
     places = save(matched.mapInArrow(_extended, "doc_id long, md5 binary, lo long, hi long, digest binary"), "places")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "md5", "lo")
-    first = places.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = places.join(first, "digest").where(place != F.col("first"))
+    drop(found, shared)
+    first = save(places.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    later = join_hot(places, first, "digest").where(place != F.col("first"))
     return later.groupBy(F.col("doc_id").alias("_weft_id"), F.col("md5").alias("_weft_md5")).agg(
         F.collect_set(F.struct("lo", "hi")).alias("ranges"))  # at most two a line of the text
 

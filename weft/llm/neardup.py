@@ -18,7 +18,8 @@ Verified means: sum of minima over sum of maxima of the shingle counts is at lea
 
 Defined results: a text of one to four words is one shingle; a null text or one without words is
 a duplicate of nothing and a class of its own; a class is named by its smallest doc_id (null if
-none has one); rows that repeat are members of the same class; only doc_id and text are read.
+none has one); rows that repeat are members of the same class; of rows equal in doc_id and text the one kept is
+chosen by a digest of all its columns; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, hashed_words, mix64, save, shingles, slices, table
+from .common import WORD, drop, hashed_words, join_hot, mix64, save, shingles, slices, table
 from .graph import components
 
 BANDS, ROWS = 40, 6
@@ -162,10 +163,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose texts are similar enough."""
     pairs = save(pairs, "pairs")
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = _texts(docs, save(nodes.join(used, "node", "left_semi").select("node", "doc_id"), "nodes"))
+    few = save(nodes.join(used, "node", "left_semi").select("node", "doc_id"), "nodes")
+    texts = _texts(docs, few)
     rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     rows = rows.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return save(rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary"), "links")
+    links = save(rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary"), "links")
+    drop(pairs, few, texts)
+    return links
 
 
 def _grams(batches):
@@ -247,8 +251,9 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = save(real.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"),
                                           F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "texts")
     rows = nodes.select("node", "bands").mapInArrow(_spread, "node binary, key long")
-    shared = rows.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = save(rows.join(shared, "key").select("key", "node", "first"), "buckets")
+    shared = save(rows.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared")
+    members = save(join_hot(rows, shared, "key").select("key", "node", "first"), "buckets")
+    drop(shared)
     centres = F.slice(F.array_sort(F.collect_set("first")), 1, STARS)  # of at most BANDS; the smallest are shared most
     stars = members.where("node != first").groupBy(F.col("node").alias("a")).agg(centres.alias("bs")).select("a", F.explode("bs").alias("b"))
     links = _verified(stars, docs, nodes)
@@ -257,24 +262,25 @@ def classes(docs: DataFrame) -> DataFrame:
     labelled = save(members.join(joined, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "labelled")
     blocks = save(_mixed_blocks(labelled), "blocks")
     used = nodes.join(blocks.select("node").distinct(), "node", "left_semi")
-    grams = _texts(docs, save(used.select("node", "doc_id"), "nodes")).mapInArrow(_grams, "node binary, grams binary")
+    few = save(used.select("node", "doc_id"), "nodes")
+    texts = _texts(docs, few)
+    grams = texts.mapInArrow(_grams, "node binary, grams binary")
     known = save(used.select("node", "bands", "sketch").join(grams, "node"), "grams")
-    more = blocks.join(known, "node").groupBy("key", "i", "j").applyInArrow(_across, "a binary, b binary")
-    links = links.union(save(more, "links"))
+    more = save(blocks.join(known, "node").groupBy("key", "i", "j").applyInArrow(_across, "a binary, b binary"), "links")
+    drop(members, labelled, blocks, few, texts, known)
 
-    joined = components(links)
+    joined = components(links.union(more), joined)
+    drop(links, more)
     labels = nodes.join(joined, "node", "left").select("node", "doc_id", "rows", F.coalesce("comp", "node").alias("comp"))
     named = labels.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"),
                                        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("_best"))
-    by_node = labels.join(named, "comp").select(
-        "node", "class_id", "class_size", (F.col("_best.node") == F.col("node")).alias("best"), F.col("doc_id").alias("_first"))
-    narrow = signed_rows.select("doc_id", F.when(F.col("bands").isNotNull(), F.col("node")).alias("node"))
-    out = narrow.join(by_node, "node", "left")
-    alone = F.col("best").isNull()
-    return out.select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
-        F.coalesce(F.col("best") & F.col("doc_id").eqNullSafe(F.col("_first")), F.lit(True)).alias("representative"), "node")
+    by_node = save(labels.join(named, "comp").select(
+        "node", "rows", "class_id", "class_size", (F.col("_best.node") == F.col("node")).alias("best"), F.col("doc_id").alias("_first")), "classes")
+    out = join_hot(real.select("doc_id", "node"), by_node, "node", "rows").select(
+        "doc_id", "class_id", "class_size", (F.col("best") & F.col("doc_id").eqNullSafe(F.col("_first"))).alias("representative"), "node")
+    alone = signed_rows.where(F.col("bands").isNull()).select(
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("representative"), F.lit(None).cast("binary").alias("node"))
+    return out.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -293,7 +299,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
                       (F.col("_weft_node") == F.col("_weft_n")) & F.col("doc_id").eqNullSafe(F.col("_weft_d")))
     own = [F.col(f"`{c}`") for c in names]
     once = hit.where("_weft_rows = 1").select(*own)
-    again = hit.where("_weft_rows > 1").dropDuplicates(["_weft_node"]).select(*own)
+    whole = F.struct(*own)
+    again = hit.where("_weft_rows > 1").groupBy("_weft_node").agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("_weft_row"))
+    again = again.select(*[F.col("_weft_row").getField(c).alias(c) for c in names])
     empty = docs.where(F.col("text").isNull() | ~F.col("text").rlike(WORD)).select(*own)
     return once.unionByName(again).unionByName(empty)
 

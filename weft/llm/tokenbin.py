@@ -11,6 +11,11 @@ totals (one number a task) give every text its global offset. The pieces of a ta
 shard travel as one compressed row, and a shard, of bounded size, is put together in one task
 and moved into place whole, so a task that runs again only writes the same bytes again.
 
+Texts are joined in the order of the tasks that read them, so the order follows the layout of the input (its
+files and how they are split), not the documents alone: the same files read alike give the same shards, a
+repartitioned copy gives others with the same tokens. The layout of a run is part of its output: the
+manifest has each task's first token, and the folder `tokens` has each text's task and place in it.
+
 Defined results: a null or empty text is an end mark alone; rows that repeat are written as often
 as they occur; the last sequence is filled up with end marks; an empty table writes no shard; only
 doc_id and text are read.
@@ -197,7 +202,7 @@ def materialise_tokens(docs: DataFrame, out: str | None = None, tokenizer: str =
         total += n
     n_sequences = -(-total // length)
     manifest = {"length": length, "per_shard": per_shard, "n_sequences": n_sequences, "n_tokens": total, "end": end,
-                "dtype": np.dtype(kind).name, "key": key, "shards": -(-n_sequences // per_shard)}
+                "dtype": np.dtype(kind).name, "key": key, "shards": -(-n_sequences // per_shard), "task_starts": sorted(starts.items())}
     store, base = pafs.FileSystem.from_uri(out)
     store.create_dir(f"{base}/shards")
     order = Feistel(max(1, n_sequences), key)
