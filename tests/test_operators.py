@@ -315,7 +315,7 @@ def test_bm25(spark):
 
     docs = {1: "the cat sat", 2: "the cat cat", 3: "dogs running", 4: None}
     index = search.Bm25.build(spark.createDataFrame(list(docs.items()), "id long, text string"))
-    assert index.n == 4 and index.average == 2.0
+    assert index.size == (4, 2.0)
     got = {r["id"]: r["score"] for r in index.search("cat sat").collect()}
     idf = lambda df: math.log(1 + (4 - df + 0.5) / (df + 0.5))
     part = lambda tf, n: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 2))

@@ -47,17 +47,15 @@ def reach(edges: DataFrame, start: DataFrame, depth: int = 3, direction: str = "
     nodes (tests, say) are neither reported nor expanded.
     """
     step = edges.where(F.col("confidence").isNull() | (F.col("confidence") >= min_confidence))
-    if direction == "both":
-        step = undirected(step).select(F.col("node").alias("at"), F.col("other").alias("to"))
-    else:
-        a, b = ("dst", "src") if direction == "upstream" else ("src", "dst")
-        step = step.select(F.col(a).alias("at"), F.col(b).alias("to")).distinct()
-    if blocked is not None:
-        step = step.join(blocked.select(F.col("node").alias("to")), "to", "left_anti")
+    up, down = step.select(F.col("dst").alias("at"), F.col("src").alias("to")), step.select(F.col("src").alias("at"), F.col("dst").alias("to"))
+    step = up.union(down) if direction == "both" else up if direction == "upstream" else down
+    step = materialise(step) if depth > 1 else step  # the edges are worked out once, not at each level
     seen = start.select("node", F.lit(0).alias("depth"))
     front = start.select("node")
     for d in range(1, depth + 1):
         front = step.join(front, step.at == front.node).select(F.col("to").alias("node")).distinct().join(seen, "node", "left_anti")
+        if blocked is not None:
+            front = front.join(blocked.select("node"), "node", "left_anti")
         front = materialise(front) if d < depth else front
         seen = seen.union(front.select("node", F.lit(d)))
     return seen.where("depth > 0")

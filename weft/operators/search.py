@@ -1,13 +1,14 @@
 """Full-text, vector and mixed search, and line searches over file contents.
 
-An index is three tables: postings (id, term, tf, length), vocabulary (term, df) and one row of corpus
-counts. A query touches only the postings of its terms, and sums them by document; the reader
-pushes the term filter down to a stored index's files.
+A query for known terms counts them in each document's list of terms and never makes postings of the others.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import cached_property, reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,25 +34,42 @@ def stemmed(terms: DataFrame) -> DataFrame:
 
 @dataclass
 class Bm25:
-    """postings: id, term, tf, length. vocabulary: term, df (and stem). n, average: documents and mean length."""
+    """docs: id, w (the terms of each document, in order); stem: whether they are to be stemmed.
 
-    postings: DataFrame
-    vocabulary: DataFrame
-    n: int
-    average: float
+    Nothing is indexed ahead of a query: a search for known terms reads the documents twice, once for their number, mean
+    length and the terms' document frequencies, once for the scores, and shuffles nothing but the best rows. Terms that
+    are only known from the vocabulary (prefixes, near spellings) or stemmed go by postings.
+    """
+
+    docs: DataFrame
     stem: bool = False
 
     @staticmethod
     def build(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokens=words, porter: bool = False) -> Bm25:
         """A null text is empty; documents without a term count in n and in the mean length."""
-        own = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-        n, average = own.agg(F.count("*"), F.avg(F.size("w"))).first()
-        rows = own.select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
-        if porter:  # stems of different terms only, then joined back
+        return Bm25(docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w")), porter)
+
+    @cached_property
+    def size(self) -> tuple[int, float]:
+        """Number of documents and mean length."""
+        n, average = self.docs.agg(F.count("*"), F.avg(F.size("w"))).first()
+        return int(n), float(average or 0)
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """id, term, tf, length."""
+        rows = self.docs.select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
+        if self.stem:  # stems of different terms only, then joined back
             table = stemmed(rows.select("term").distinct())
             rows = rows.join(table, "term").select("id", "length", F.col("stem").alias("term"))
-        postings = rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-        return Bm25(postings, postings.groupBy("term").agg(F.count("*").alias("df")), int(n), float(average or 0), porter)
+        return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        """term, df."""
+        if self.stem:
+            return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        return self.docs.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
     def terms_of(self, query: str) -> list[str]:
         import re
@@ -61,26 +79,42 @@ class Bm25:
 
     def score(self, weighted: DataFrame, conjunctive: int = 0, k1: float = K1, b: float = B) -> DataFrame:
         """id, score. weighted: term, weight; conjunctive: how many different terms a document must have."""
-        idf = F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        n, average = self.size
+        idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         terms = weighted.join(self.vocabulary, "term").select("term", (idf * F.col("weight")).alias("_w"))
-        norm = k1 * (1 - b + b * F.col("length") / F.lit(self.average or 1.0))
+        norm = k1 * (1 - b + b * F.col("length") / F.lit(average or 1.0))
         hit = self.postings.join(terms, "term").select("id", "term", (F.col("_w") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("s"))
         out = hit.groupBy("id").agg(F.sum("s").alias("score"), F.count("*").alias("_terms"))
         return (out.where(F.col("_terms") >= conjunctive) if conjunctive else out).drop("_terms")
 
+    def score_terms(self, weights: dict[str, float], conjunctive: int = 0, k1: float = K1, b: float = B) -> DataFrame:
+        """id, score, for the few terms of a query: counts of each in every document, no postings."""
+        found = self.docs.select("id", F.size("w").alias("length"), F.filter("w", lambda x: x.isin(*weights)).alias("_own"))
+        times = lambda t: F.size(F.filter("_own", lambda x: x == t))
+        counts = found.select("id", "length", *[times(t).alias(f"_{k}") for k, t in enumerate(weights)])
+        n, average, *df = counts.agg(F.count("*"), F.avg("length"), *[F.count_if(F.col(f"_{k}") > 0) for k in range(len(weights))]).first()
+        self.__dict__["size"] = int(n), float(average or 0)
+        norm = k1 * (1 - b + b * F.col("length") / F.lit(float(average or 1.0)))
+        parts = [F.when(F.col(f"_{k}") > 0, F.lit(math.log(1 + (n - d + 0.5) / (d + 0.5)) * w) * F.col(f"_{k}") * (k1 + 1) / (F.col(f"_{k}") + norm)).otherwise(0.0)
+                 for k, (d, w) in enumerate(zip(df, weights.values(), strict=True))]
+        least = reduce(add, [(F.col(f"_{k}") > 0).cast("int") for k in range(len(weights))])
+        return counts.where(least >= max(1, conjunctive)).groupBy("id").agg(F.sum(reduce(add, parts)).alias("score"))
+
     def search(self, query: str, limit: int = 20, conjunctive: bool = False) -> DataFrame:
         """id, score, rank; nothing for a blank query or a limit of 0."""
         own = self.terms_of(query) if limit > 0 else []
-        spark = self.postings.sparkSession
+        spark = self.docs.sparkSession
         if not own:
-            kind = dict(self.postings.dtypes)["id"]
+            kind = dict(self.docs.dtypes)["id"]
             return spark.createDataFrame([], f"id {kind}, score double, rank int")
+        if not self.stem:
+            return ranked(self.score_terms(dict.fromkeys(own, 1.0), len(own) if conjunctive else 0), limit)
         terms = spark.createDataFrame([(t, 1.0) for t in own], "term string, weight double")
         return ranked(self.score(F.broadcast(terms), len(own) if conjunctive else 0), limit)
 
     def expand(self, query: str, fuzzy: float = 0.2) -> DataFrame:
         """term, weight: the query's terms, terms that begin with one, and terms within a share of its length of edits."""
-        spark = self.postings.sparkSession
+        spark = self.docs.sparkSession
         out = None
         for t in self.terms_of(query):
             edits = round(fuzzy * len(t)) if fuzzy < 1 else int(fuzzy)
@@ -104,9 +138,12 @@ def field_search(fields: dict[str, tuple[Bm25, float]], query: str, limit: int =
     """Sum over fields of weight x score: id, score, rank. fuzzy=None takes the query's terms as they are."""
     out = None
     for index, weight in fields.values():
-        terms = index.expand(query, fuzzy) if fuzzy is not None else index.postings.sparkSession.createDataFrame(
-            [(t, 1.0) for t in index.terms_of(query)], "term string, weight double")
-        one = index.score(terms).withColumn("score", F.col("score") * weight)
+        own = index.terms_of(query)
+        if fuzzy is None and own and not index.stem:
+            one = index.score_terms(dict.fromkeys(own, 1.0))
+        else:
+            one = index.score(index.expand(query, fuzzy) if fuzzy is not None else index.docs.sparkSession.createDataFrame([(t, 1.0) for t in own], "term string, weight double"))
+        one = one.withColumn("score", F.col("score") * weight)
         out = one if out is None else out.union(one)
     return ranked(out.groupBy("id").agg(F.sum("score").alias("score")), limit)
 

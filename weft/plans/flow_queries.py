@@ -28,18 +28,21 @@ sc AS (SELECT na.id, callees / (callers + 1) * CASE WHEN is_exported THEN 2.0 EL
   * CASE id % 3 WHEN 0 THEN 3.0 WHEN 2 THEN 2.5 ELSE 1.0 END AS score FROM na JOIN de USING (id) WHERE callees > 0)"""
 
 
-def _entries(s, d, k=5):
-    return f.candidates(_named(s, d), calls(s, d), k)
+def _entries(s, d):
+    return f.candidates(_named(s, d), calls(s, d))
 
 
-_TOP = _SCORES.format(w="WHERE confidence >= 0.5") + ", en AS (SELECT id FROM sc ORDER BY score DESC, id LIMIT 5)"
+_TOP = _SCORES.format(w="WHERE confidence >= 0.5") + ", en AS (SELECT id FROM sc ORDER BY score DESC, id LIMIT 200)"
 _CALLS = f"{CALLS}, {SYMBOLS}, {_NAMED}, {_TOP}"
-_BFS = """bf(entry, node, step) AS (SELECT id, id, 0 FROM en UNION SELECT entry, dst, step + 1 FROM bf JOIN (SELECT src, dst FROM ce WHERE confidence >= 0.95) x ON x.src = bf.node WHERE step < 40),
-fl AS (SELECT entry, node, CAST(min(step) AS INTEGER) AS step FROM bf GROUP BY entry, node)"""
+_BFS = """sf AS (SELECT src, dst FROM ce WHERE confidence >= 0.5),
+bf(entry, node, step) USING KEY (entry, node) AS (SELECT id, id, 0 FROM en UNION
+  SELECT x.entry, x.dst, min(x.step) FROM (SELECT entry, dst, step + 1 AS step FROM bf JOIN sf ON sf.src = bf.node) x
+  LEFT JOIN recurring.bf r ON r.entry = x.entry AND r.node = x.dst WHERE r.node IS NULL GROUP BY ALL),
+fl AS (SELECT entry, node, CAST(step AS INTEGER) AS step FROM bf)"""
 
 
 def _flows(s, d):
-    return f.bfs_flows(_entries(s, d), calls(s, d).where("confidence >= 0.95"))
+    return f.bfs_flows(_entries(s, d), calls(s, d).where(f"confidence >= {f.MIN_CONFIDENCE}"))
 
 
 def _membership(s, d):
@@ -88,13 +91,6 @@ def _adj(s, d):
 _ADJ = "ad AS (SELECT DISTINCT src AS node, dst AS other FROM (SELECT src, dst FROM ce UNION ALL SELECT dst, src FROM ce))"
 
 
-def _lpa(s, d):
-    """Communities of the surest calls."""
-    e = calls(s, d).where("confidence >= 0.95")
-    adj = e.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(e.select("dst", "src")).distinct()
-    return c.propagate(adj, adj.select("node").distinct())
-
-
 def _keywords(s, d):
     words = symbols(s, d).select(F.col("community").alias("label"), F.explode(name_tokens(F.col("name"))).alias("token")).groupBy("label", "token").agg(F.count("*").alias("n"))
     from weft.operators.graph import top_per_group
@@ -110,7 +106,7 @@ QUERIES = {
     "bfs_flow_steps": (lambda s, d: _flows(s, d).select("entry", "node", "step"), f"WITH RECURSIVE {_CALLS}, {_BFS} SELECT * FROM fl"),
     "flow_summary": (_flow_summary, f"""WITH RECURSIVE {_CALLS}, {_BFS} SELECT entry, arg_max(node, (step, node)) AS terminal, CAST(max(step) + 1 AS BIGINT) AS step_count, count(*) AS nodes,
   string_agg(DISTINCT community, ',' ORDER BY community) AS communities FROM fl JOIN sy ON sy.id = fl.node GROUP BY entry"""),
-    "bounded_traces": (lambda s, d: f.traces(_entries(s, d), calls(s, d), depth=4, most=12).select("entry", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path")),
+    "bounded_traces_depth4": (lambda s, d: f.traces(_entries(s, d), calls(s, d), depth=4).select("entry", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path")),
         f"""WITH RECURSIVE {_CALLS}, nx AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM ce QUALIFY k <= 4),
 tr(entry, path, o) AS (SELECT id, [id], '' FROM en UNION ALL SELECT entry, list_append(path, dst), o || CAST(k AS VARCHAR) FROM tr JOIN nx ON nx.src = path[-1] WHERE len(path) < 4 AND NOT list_contains(path, dst)),
 en2 AS (SELECT *, len(path) >= 4 OR NOT EXISTS (SELECT 1 FROM nx WHERE nx.src = path[-1] AND NOT list_contains(path, nx.dst)) AS ended FROM tr)
@@ -132,7 +128,7 @@ SELECT 'proc_' || i || '_' || lower(regexp_replace(p[1], '[^a-zA-Z0-9]', '_', 'g
     "community_keywords_top5": (_keywords, f"WITH {SYMBOLS}, w AS (SELECT community AS label, unnest(regexp_extract_all(lower(name), '[a-z]+')) AS token FROM sy) SELECT label, token, count(*) AS n FROM w WHERE length(token) >= 3 GROUP BY label, token QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC, token) <= 5"),
     "modal_folder_label": (lambda s, d: c.folder_label(_members(s, d), symbols(s, d)),
         f"WITH {SYMBOLS}, n AS (SELECT community AS label, split_part(file_path, '/', 1) AS folder, count(*) AS n FROM sy GROUP BY ALL) SELECT label, arg_min(upper(folder[1]) || folder[2:], (-n, folder)) AS heuristic_label FROM n GROUP BY label"),
-    "label_propagation": (_lpa, None),
+    "label_propagation": (lambda s, d: c.propagate(_adj(s, d), symbols(s, d).select(F.col("id").alias("node"))), None),
     "leiden_communities": (lambda s, d: c.communities(_adj(s, d), symbols(s, d).select(F.col("id").alias("node")), method="leiden"), None),
     "communities_in_turn": (lambda s, d: c.communities(_adj(s, d), symbols(s, d).select(F.col("id").alias("node"))), None),
 }

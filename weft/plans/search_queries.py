@@ -138,7 +138,7 @@ QUERIES = {
         f"WITH {_SRC}, {_bm25('ba', 'src', 'text', ['web', 'that', 'the'])}, {_bm25('bb', 'src', 'source', ['web', 'that', 'the'], 2.0)}, s AS (SELECT id, sum(score) AS score FROM (SELECT * FROM ba UNION ALL SELECT * FROM bb) GROUP BY id) SELECT id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= {LIMIT}"),
     "bm25_prefix_fuzzy": (lambda k, d: _rounded(_expanded(k, d), "score"),
         f"WITH {_SRC}, {_BM}, {_EXPAND}, s AS (SELECT id, sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) AS score FROM bm_p JOIN bm_t USING (term) JOIN ex USING (term) CROSS JOIN bm_c GROUP BY id) SELECT id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= {LIMIT}"),
-    "bm25_index_stats": (lambda k, d: (lambda i: i.vocabulary.agg(F.count("*").alias("terms"), F.sum("df").alias("postings")).withColumn("documents", F.lit(i.n).cast("long")))(_index(k, d)),
+    "bm25_index_stats": (lambda k, d: (lambda i: i.vocabulary.agg(F.count("*").alias("terms"), F.sum("df").alias("postings")).withColumn("documents", F.lit(i.size[0]).cast("long")))(_index(k, d)),
         f"WITH {_SRC}, {_BM} SELECT (SELECT count(*) FROM bm_t) AS terms, (SELECT CAST(sum(df) AS BIGINT) FROM bm_t) AS postings, (SELECT n FROM bm_c) AS documents"),
     "knn_cosine_top20": (lambda k, d: _rounded(_knn(k, d), "score"), f"WITH {_KNN} SELECT id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM kn"),
     "knn_threshold": (lambda k, d: vectors.within(_knn(k, d), 0.6).select("id", F.round("distance", 6).alias("distance")), f"WITH {_KNN} SELECT id, round(1 - score, 6) AS distance FROM kn WHERE 1 - score < 0.6"),
