@@ -272,9 +272,9 @@ def classes(docs: DataFrame) -> DataFrame:
     joined = components(links.union(more), joined)
     drop(links, more)
     labels = nodes.join(joined, "node", "left").select("node", "doc_id", "rows", F.coalesce("comp", "node").alias("comp"))
-    named = labels.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"),
-                                       F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("_best"))
-    by_node = save(labels.join(named, "comp").select(
+    named = save(labels.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("rows").alias("class_size"), F.count("*").alias("n"),
+                                            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("_best")), "named")
+    by_node = save(join_hot(labels, named, "comp").select(
         "node", "rows", "class_id", "class_size", (F.col("_best.node") == F.col("node")).alias("best"), F.col("doc_id").alias("_first")), "classes")
     out = join_hot(real.select("doc_id", "node"), by_node, "node", "rows").select(
         "doc_id", "class_id", "class_size", (F.col("best") & F.col("doc_id").eqNullSafe(F.col("_first"))).alias("representative"), "node")
