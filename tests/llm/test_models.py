@@ -1,6 +1,7 @@
 """Mixing, language model, language and toxicity: exact parts against brute force, the rest by held-out quality."""
 
 import collections
+import copy
 import math
 import re
 import zlib
@@ -111,6 +112,59 @@ def test_scores_by_brute_force(spark):
         assert abs(got[r["doc_id"]] - want) < 1e-3
 
 
+def test_rows_have_no_upper_bound():
+    for total in (10**9, 10**10, 10**12):
+        assert langmodel.buckets_for(total) * langmodel.TOKENS_PER_ROW >= total
+        assert langmodel.buckets_for(total) == langmodel.shards_for(total) * langmodel.SHARD_ROWS
+
+
+SHARDED = [(k, " ".join(f"w{(k * 7 + j * j) % 23}" for j in range(12))) for k in range(40)] + [(50, ""), (51, "never seen"), (52, None), (None, "w1 w2"), (3, "twice"), (3, "twice"), (53, None)]
+
+
+def test_saved_tokens_train_as_texts_do(spark):
+    """One shard of saved tokens gives the weights that the texts give."""
+    docs = spark.createDataFrame(SHARDED, "doc_id long, text string")
+    whole = langmodel.train(docs)[0]
+    for _, model in langmodel.shard_models(docs, langmodel.untrained(docs)[0], 1):
+        assert np.abs(whole.whole).max() > 0.1 and np.allclose(model.whole, whole.whole, atol=1e-3)
+        assert np.allclose(model.history, whole.history, atol=1e-3)
+
+
+def test_sharded_scores_by_brute_force(spark, monkeypatch):
+    """More rows than a worker holds: every token is scored by the rows of its shard, every row of the table is returned."""
+    docs = spark.createDataFrame(SHARDED, "doc_id long, text string")
+    for name, value in (("LEAST_BUCKETS", 64), ("SHARD_ROWS", 64), ("TOKENS_PER_ROW", 2)):
+        monkeypatch.setattr(langmodel, name, value)
+    model, table = langmodel.untrained(docs)
+    shards = langmodel.shards_for(model.total)
+    assert shards == 4 and model.buckets == 64
+    counts = {int(np.int64(r["h"]).view(np.uint64)): r["n"] for r in table.collect()}
+    models = [copy.deepcopy(own) for _, own in langmodel.shard_models(docs, model, shards)]
+    training = docs.where(langmodel.crc_mod(10) != 0).select("text", langmodel._batch().alias("batch"))
+    for shard, own in enumerate(models):  # trained on all tokens of the shard and no others
+        def read(classes, batches, shard=shard):
+            for back, cls, group in langmodel._of_texts(classes, batches):
+                here = np.flatnonzero(langmodel.shard_of(back[0], shards) == shard)
+                yield [x[here] for x in back], cls[here], group[here]
+
+        model.clear()
+        langmodel._fit(model, training, read)
+        assert np.abs(own.whole).max() > 0.1 and np.allclose(own.whole, model.whole, atol=1e-3)
+    want = []
+    for doc_id, text in SHARDED:
+        h, leaf, _ = langmodel.tokens(pa.array([text or ""]))
+        cls, total = model.classes.of(h, leaf), 0.0
+        for k in range(len(h)):
+            context = [h[k - j] if k >= j else langmodel.END for j in (1, 2, 3)]
+            own = models[int(langmodel.shard_of(np.array(context[:1], np.uint64), shards)[0])]
+            total += math.log10(plain_probability(own, counts, context, h[k], int(leaf[k]), int(cls[k])))
+        want.append((-1 if doc_id is None else doc_id, len(h), total))
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["score"]) for r in langmodel.score(docs).collect())
+    want.sort()
+    assert [w[:2] for w in want] == [g[:2] for g in got]
+    assert np.allclose([w[2] for w in want], [g[2] for g in got], atol=1e-3)
+
+
 def test_sums_of_repeated_rows():
     rng = np.random.default_rng(1)
     ids, rows = rng.integers(0, 9, 500).astype(np.uint16), rng.random((500, langmodel.CLASSES)).astype(np.float32)

@@ -9,8 +9,12 @@ the word before and the one before that, each together with the class. P(word |
 word's share of the group's add-0.1 counts, with one unseen word in each group, so the model sums to one.
 
 What is gathered grows with the corpus: the table of word counts has a row for every different word,
-and a feature is hashed into a number of rows that follows the training tokens, TOKENS_PER_ROW for one, from
-LEAST_BUCKETS to MOST_BUCKETS (at the upper bound the weights are 50 MB; beyond it histories share rows).
+and a feature is hashed into a number of rows that follows the training tokens without an upper bound, one for
+TOKENS_PER_ROW and LEAST_BUCKETS at least. One worker holds up to SHARD_ROWS rows a feature (50 MB of weights).
+Where more are wanted the word before deals the tokens to shards, each with SHARD_ROWS rows of its own, so that
+a history only shares rows with histories of its shard. Then texts are read once, what the features need of each
+token is saved by shard, and shards are fitted and scored one after the other, each by all executors: neither
+the driver nor a worker ever holds more than one shard's rows. A text's score is the sum over the shards.
 
 Training covers every training document: word counts by one aggregation; observed class and group counts
 of every feature, for the first weights; then gradient updates, one for each of BATCHES parts of the training
@@ -35,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_mod, mix64, raw, save, slices, span_hashes, table, word_bounds
+from .common import LOWER, crc_mod, drop, mix64, raw, row_key, save, slices, span_hashes, table, word_bounds
 
 ADD = 0.1
 COMMON = 1 << 19
@@ -43,7 +47,7 @@ SINGLES, ENDINGS = 24, 39
 CLASSES = 1 + SINGLES + ENDINGS
 GROUPS = 16
 FEATURES, GROUP_FEATURES = 4, 2
-LEAST_BUCKETS, MOST_BUCKETS, TOKENS_PER_ROW = 1 << 12, 1 << 15, 1 << 14
+LEAST_BUCKETS, SHARD_ROWS, TOKENS_PER_ROW = 1 << 12, 1 << 15, 1 << 14
 WIDER = 4  # rows of a group feature for one of a class feature
 BATCHES = 2
 STEP_SIZE, GROUP_STEP_SIZE = 2.0, 1.5
@@ -52,8 +56,13 @@ UPDATE_SHRINK, GROUP_UPDATE_SHRINK = 1000.0, 400.0  # of an update: a part of th
 FAN = 64
 SLICE = 2 << 20  # bytes of text worked on at a time: each part costs a pass over the table of features
 CHUNK = 256  # feature rows in one row of a partial table
+MERGE = 4  # partitions of saved tokens read by one task: each task makes tables of its own
+SLICE_TOKENS = 400_000  # saved tokens worked on at a time, about as many as in a SLICE
+DEALT = 4 * SLICE  # bytes of text dealt to shards at a time: words that occur in a saved row are named once in it
 STEP = 4096  # tokens worked on at a time: their probabilities stay in the cache
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
+LOW = np.uint64(0xFFFFFFFF)  # the bits of a word's hash that features see
+PACKED = 3 * 4 + 2  # bytes of a saved token before compression: three words before it, class and group
 _SALT = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(FEATURES + GROUP_FEATURES + 1)]
 
 
@@ -87,15 +96,16 @@ class Classes:
         return out
 
 
-def history(h: np.ndarray, ptr: np.ndarray) -> list[np.ndarray]:
+def history(h: np.ndarray, ptr: np.ndarray, end=END) -> list[np.ndarray]:
     """The tokens one, two and three back inside the text; ends before its start."""
     n = len(h)
     place = np.arange(n) - np.repeat(ptr[:-1], np.diff(ptr))
-    return [np.where(place >= k, h[np.maximum(np.arange(n) - k, 0)], END) for k in (1, 2, 3)]
+    return [np.where(place >= k, h[np.maximum(np.arange(n) - k, 0)], end) for k in (1, 2, 3)]
 
 
 def features(back: list[np.ndarray], buckets: int) -> np.ndarray:
     """FEATURES x tokens: row of each class feature that the history switches on."""
+    back = [x & LOW for x in back]
     seen = (back[0], back[1], mix64(back[0] * np.uint64(3) + back[1]), back[2])
     return np.stack([(mix64(x ^ s) % np.uint64(buckets)).astype(np.int64) for x, s in zip(seen, _SALT, strict=False)])
 
@@ -103,14 +113,24 @@ def features(back: list[np.ndarray], buckets: int) -> np.ndarray:
 def group_features(back: list[np.ndarray], cls: np.ndarray, buckets: int) -> np.ndarray:
     """GROUP_FEATURES x tokens: row of each group feature that history and class switch on."""
     own = cls.astype(np.uint64)
-    return np.stack([(mix64(mix64(x ^ s) + own) % np.uint64(WIDER * buckets)).astype(np.int64)
+    return np.stack([(mix64(mix64((x & LOW) ^ s) + own) % np.uint64(WIDER * buckets)).astype(np.int64)
                      for x, s in zip(back[:GROUP_FEATURES], _SALT[FEATURES:], strict=False)])
 
 
 def buckets_for(total: int) -> int:
-    """Rows of one class feature: a power of two that follows the number of training tokens."""
+    """Rows of one class feature in all shards: a power of two that follows the number of training tokens."""
     wanted = max(1, total // TOKENS_PER_ROW)
-    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (wanted - 1).bit_length()))
+    return max(LEAST_BUCKETS, 1 << (wanted - 1).bit_length())
+
+
+def shards_for(total: int) -> int:
+    """Shards of SHARD_ROWS rows that hold them; one where a worker can hold them all."""
+    return max(1, buckets_for(total) // SHARD_ROWS)
+
+
+def shard_of(before: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of tokens with these words before them."""
+    return (mix64((before & LOW) ^ _SALT[-1]) % np.uint64(shards)).astype(np.int64)
 
 
 def blank(buckets: int, kind=np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +149,11 @@ class Model:
         own = self.mass.sum(axis=1)
         self.bias = np.log(own / own.sum()).astype(np.float32)
         self.group_bias = np.log(self.mass[1 + SINGLES :] / own[1 + SINGLES :, None]).astype(np.float32)
-        self.whole, self.weights, self.group_weights = blank(buckets)
+        self.clear()
+
+    def clear(self) -> None:
+        """Weights as before the training."""
+        self.whole, self.weights, self.group_weights = blank(self.buckets)
         self.history: list[float] = []  # log10 a token of each batch, before its update
 
     def __setstate__(self, state) -> None:
@@ -162,17 +186,17 @@ class Model:
         z /= z.sum(axis=1, keepdims=True)
         return z
 
-    def log10(self, h, leaf, ptr) -> np.ndarray:
+    def log10(self, back, cls, group) -> np.ndarray:
         """Of every token: log10 of P(class | history) * P(group | class, history) / mass of the group."""
-        cls, back, out = self.classes.of(h, leaf), history(h, ptr), np.zeros(len(h))
+        out = np.zeros(len(cls))
         f = features(back, self.buckets)
         a, b = buffers()
-        for lo in range(0, len(h), STEP):
+        for lo in range(0, len(cls), STEP):
             own = slice(lo, lo + STEP)
             p, total = self.spread(f[:, own], a, b)
             out[own] = np.log(p[np.arange(len(p)), cls[own]] / total)
         many = np.flatnonzero(cls > SINGLES)
-        cls_many, group = cls[many], leaf[many] % GROUPS
+        cls_many, group = cls[many], group[many]
         f = group_features([x[many] for x in back], cls_many, self.buckets)
         for lo in range(0, len(many), STEP):
             own = slice(lo, lo + STEP)
@@ -243,30 +267,77 @@ def _packed(*tables: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part, np.int64)), pa.array(at, pa.int64()), pa.array(rows, pa.binary())], names=["part", "chunk", "table"])
 
 
-def _add_observed(class_rows, group_rows, f, cls, g, many, leaf) -> None:
+def _of_texts(classes: Classes, batches):
+    """Of the tokens of a slice of texts: the three words before each, class and group."""
+    for batch in batches:
+        for part in slices(batch, max_bytes=SLICE):
+            h, leaf, ptr = tokens(part.column(0))
+            yield history(h, ptr), classes.of(h, leaf), leaf % GROUPS
+
+
+def _pack(words, back, cls, group) -> bytes:
+    """Tokens by their words' numbers in `words`: the bytes of the same weight together, class, group, and the words that occur."""
+    used = np.zeros(len(words), bool)
+    for x in back:
+        used[x] = True
+    number = (np.cumsum(used) - 1).astype(np.uint32)
+    ids = np.stack([number[x] for x in back]).view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1)
+    return zstandard.compress(b"".join([ids.tobytes(), cls.astype(np.uint8).tobytes(), group.astype(np.uint8).tobytes(), words[used].tobytes()]), 1)
+
+
+def _unpack(sizes: list[int], rows: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    back, cls, group = [], [], []
+    for n, row in zip(sizes, rows, strict=True):
+        data = zstandard.decompress(row)
+        x = np.frombuffer(data, np.uint8)
+        ids = np.ascontiguousarray(x[: 12 * n].reshape(3, 4, n).transpose(0, 2, 1)).view(np.uint32)[:, :, 0]
+        back.append(np.frombuffer(data, np.uint32, offset=PACKED * n)[ids])
+        cls.append(x[12 * n : 13 * n])
+        group.append(x[13 * n : 14 * n])
+    return list(np.concatenate(back, axis=1).astype(np.uint64)), np.concatenate(cls).astype(np.int64), np.concatenate(group).astype(np.int64)
+
+
+def _gathered(batches):
+    """The saved rows of about SLICE_TOKENS tokens at a time, as lists by column."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append(row)
+            size += row[0]
+            if size >= SLICE_TOKENS:
+                yield [list(c) for c in zip(*held, strict=True)]
+                held, size = [], 0
+    if held:
+        yield [list(c) for c in zip(*held, strict=True)]
+
+
+def _of_saved(classes: Classes, batches):
+    """As _of_texts, of saved tokens: their number, and them."""
+    for sizes, data in _gathered(batches):
+        yield _unpack(sizes, data)
+
+
+def _add_observed(class_rows, group_rows, f, cls, g, many, group) -> None:
     for own, row in zip(class_rows, f, strict=True):
         own += np.bincount(row * CLASSES + cls, minlength=own.size).reshape(own.shape)
     for own, row in zip(group_rows, g, strict=True):
-        own += np.bincount(row * GROUPS + leaf[many] % GROUPS, minlength=own.size).reshape(own.shape)
+        own += np.bincount(row * GROUPS + group[many], minlength=own.size).reshape(own.shape)
 
 
-def _observed(shared):
+def _observed(shared, read):
     """Class and group counts of every feature."""
     def rows(batches):
         model = shared.value
         seen, class_rows, group_rows = blank(model.buckets)
-        for batch in batches:
-            for part in slices(batch, max_bytes=SLICE):
-                h, leaf, ptr = tokens(part.column(0))
-                cls, back = model.classes.of(h, leaf), history(h, ptr)
-                many = np.flatnonzero(cls > SINGLES)
-                _add_observed(class_rows, group_rows, features(back, model.buckets), cls, group_features([x[many] for x in back], cls[many], model.buckets), many, leaf)
+        for back, cls, group in read(model.classes, batches):
+            many = np.flatnonzero(cls > SINGLES)
+            _add_observed(class_rows, group_rows, features(back, model.buckets), cls, group_features([x[many] for x in back], cls[many], model.buckets), many, group)
         yield _packed(seen)
 
     return rows
 
 
-def _compared(shared):
+def _compared(shared, read):
     """Observed counts of every feature, those that the model expects, and the model's log10 with the number of tokens."""
     def rows(batches):
         model = shared.value
@@ -274,27 +345,24 @@ def _compared(shared):
         want, want_rows, want_groups = blank(model.buckets)
         a, b = buffers()
         told = np.zeros(2)
-        for batch in batches:
-            for part in slices(batch, max_bytes=SLICE):
-                h, leaf, ptr = tokens(part.column(0))
-                cls, back = model.classes.of(h, leaf), history(h, ptr)
-                many = np.flatnonzero(cls > SINGLES)
-                f, g = features(back, model.buckets), group_features([x[many] for x in back], cls[many], model.buckets)
-                _add_observed(seen_rows, seen_groups, f, cls, g, many, leaf)
-                near, short = np.zeros(want_rows.shape, np.float32), f.astype(np.uint16)  # short ids sort faster
-                for lo in range(0, len(h), STEP):
-                    own = slice(lo, lo + STEP)
-                    p, total = model.spread(f[:, own], a, b)
-                    p /= total[:, None]
-                    told[0] += np.log10(np.maximum(p[np.arange(len(p)), cls[own]], 1e-30)).sum()
-                    for table_rows, row in zip(near, short[:, own], strict=True):
-                        add_rows(table_rows, row, p, b)
-                want_rows += near
-                p = model.group_spread(g, cls[many])
-                told += [np.log10(np.maximum(p[np.arange(len(p)), leaf[many] % GROUPS], 1e-30)).sum(), len(h)]
-                for own, row in zip(want_groups, g, strict=True):
-                    for k in range(GROUPS):
-                        own[:, k] += np.bincount(row, p[:, k], minlength=len(own))
+        for back, cls, group in read(model.classes, batches):
+            many = np.flatnonzero(cls > SINGLES)
+            f, g = features(back, model.buckets), group_features([x[many] for x in back], cls[many], model.buckets)
+            _add_observed(seen_rows, seen_groups, f, cls, g, many, group)
+            near, short = np.zeros(want_rows.shape, np.float32), f.astype(np.uint16)  # short ids sort faster
+            for lo in range(0, len(cls), STEP):
+                own = slice(lo, lo + STEP)
+                p, total = model.spread(f[:, own], a, b)
+                p /= total[:, None]
+                told[0] += np.log10(np.maximum(p[np.arange(len(p)), cls[own]], 1e-30)).sum()
+                for table_rows, row in zip(near, short[:, own], strict=True):
+                    add_rows(table_rows, row, p, b)
+            want_rows += near
+            p = model.group_spread(g, cls[many])
+            told += [np.log10(np.maximum(p[np.arange(len(p)), group[many]], 1e-30)).sum(), len(cls)]
+            for own, row in zip(want_groups, g, strict=True):
+                for k in range(GROUPS):
+                    own[:, k] += np.bincount(row, p[:, k], minlength=len(own))
         extra = np.zeros(CHUNK * CLASSES, np.float32)
         extra[:2] = told
         yield _packed(seen, want)
@@ -315,7 +383,7 @@ def _totals(training: DataFrame, rows, size: int) -> np.ndarray:
     """Sum of the tables that `rows` makes of each partition, in a tree; the result has the size of one task's tables."""
     schema = "part long, chunk long, table binary"
     parts = training.rdd.getNumPartitions()
-    found = training.select("text").mapInArrow(rows, schema)
+    found = training.mapInArrow(rows, schema)
     while True:
         found = found.withColumn("group", F.col("part").cast("long") - F.col("part") % FAN).groupBy("chunk", "group").applyInArrow(_added, schema)
         parts = -(-parts // FAN)
@@ -328,8 +396,8 @@ def _totals(training: DataFrame, rows, size: int) -> np.ndarray:
     return out
 
 
-def _fit(model: Model, training: DataFrame) -> None:
-    """training: text and batch."""
+def _fit(model: Model, training: DataFrame, read=_of_texts) -> None:
+    """training: batch, and the columns of which `read` makes tokens."""
     send = training.sparkSession.sparkContext.broadcast
     size, first = len(model.whole), model.weights.size
     shape, group_shape = model.weights.shape, model.group_weights.shape
@@ -341,7 +409,7 @@ def _fit(model: Model, training: DataFrame) -> None:
         return flat[:first].reshape(shape), flat[first:size].reshape(group_shape)
 
     shared = send(model)
-    seen, groups = split(_totals(training, _observed(shared), size))
+    seen, groups = split(_totals(training.drop("batch"), _observed(shared, read), size))
     shared.destroy()
     want = seen.sum(axis=-1, keepdims=True) * np.exp(model.bias)
     model.weights += np.log((seen + prior) / (want + prior)) * np.float32(2.0 / FEATURES)
@@ -349,7 +417,7 @@ def _fit(model: Model, training: DataFrame) -> None:
     model.group_weights += np.log((groups + group_prior) / (want + group_prior)) * np.float32(1.5 / GROUP_FEATURES)
     for k in range(BATCHES):
         shared = send(model)
-        found = _totals(training.where(F.col("batch") == k), _compared(shared), 2 * size)
+        found = _totals(training.where(F.col("batch") == k).drop("batch"), _compared(shared, read), 2 * size)
         shared.destroy()
         told, n = found[2 * size : 2 * size + 2]
         if not n:
@@ -361,10 +429,13 @@ def _fit(model: Model, training: DataFrame) -> None:
         model.group_weights += np.log((groups + group_some) / (want_groups + group_some)) * np.float32(GROUP_STEP_SIZE / GROUP_FEATURES)
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of training counts (h, leaf, n)."""
-    batch = F.pmod(F.xxhash64("doc_id", "text", F.lit("batch")), F.lit(BATCHES))
-    training = docs.where(crc_mod(10) != 0).select("text", batch.alias("batch"))
+def _batch():
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit("batch")), F.lit(BATCHES))
+
+
+def untrained(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """A model that knows the counts alone, with the rows of one shard, and the table of training counts (h, leaf, n)."""
+    training = docs.where(crc_mod(10) != 0)
     counts = save(training.select("text").mapInArrow(_counts, "h long, leaf int, n long").groupBy("h").agg(F.min("leaf").alias("leaf"), F.sum("n").alias("n")), "counts")
     top = counts.where("leaf >= 0").orderBy(F.desc("n"), "h").limit(SINGLES).collect()
     classes = Classes([r["h"] for r in top])
@@ -377,20 +448,98 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     for r in top:
         words[1 + order[r["h"]], 0], kinds[1 + order[r["h"]], 0] = r["n"], 1
     total = int(words.sum())
-    model = Model(classes, total, words, kinds, buckets_for(total))
-    if model.total:
-        _fit(model, training)
+    return Model(classes, total, words, kinds, buckets_for(total) // shards_for(total)), counts
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of a corpus with one shard, and the table of training counts."""
+    model, counts = untrained(docs)
+    _fit_texts(model, docs)
     return model, counts
 
 
+def _fit_texts(model: Model, docs: DataFrame) -> None:
+    if model.total:
+        _fit(model, docs.where(crc_mod(10) != 0).select("text", _batch().alias("batch")))
+
+
+def _dealt(classes: Classes, shards: int):
+    """Rows of tokens of a slice that share shard and batch: their texts' keys, tokens of each, and the tokens."""
+    def rows(batches):
+        boxes = np.arange(shards * (BATCHES + 1) + 1)
+        for batch in batches:
+            for part in slices(batch, max_bytes=DEALT):
+                h, leaf, ptr = tokens(part.column(2))
+                keys, own_batch = part.column(0).to_numpy(), part.column(1).to_numpy()
+                cls, group = classes.of(h, leaf), leaf % GROUPS
+                words, number, n = np.unique(h & LOW, return_inverse=True, return_counts=True)
+                common = np.argsort(-n, kind="stable")  # small numbers for common words: they compress better
+                words, rank = words[common], np.empty(len(words), np.int64)
+                rank[common] = np.arange(len(words))
+                number = rank[number]
+                back = history(number, ptr, number[ptr[1] - 1])
+                doc = np.repeat(np.arange(part.num_rows), np.diff(ptr))
+                box = shard_of(words, shards)[back[0]] * (BATCHES + 1) + own_batch[doc]
+                words = words.astype(np.uint32)
+                order = np.argsort(box, kind="stable")  # texts stay in order inside a box
+                cut = np.searchsorted(box[order], boxes)
+                out = []
+                for k in np.flatnonzero(np.diff(cut)):
+                    own = order[cut[k] : cut[k + 1]]
+                    docs, n = np.unique(doc[own], return_counts=True)
+                    out.append((k // (BATCHES + 1), k % (BATCHES + 1), len(own), _pack(words, [x[own] for x in back], cls[own], group[own]), keys[docs].tobytes(), n.astype(np.int32).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+                                                 names=["shard", "batch", "n", "data", "keys", "times"])
+
+    return rows
+
+
+def _fits(shared):
+    """Of every text of saved tokens: their number and the log10 that the model gives them."""
+    def rows(batches):
+        model = shared.value
+        for sizes, data, keys, times in _gathered(batches):
+            fit = model.log10(*_unpack(sizes, data))
+            key, n = np.frombuffer(b"".join(keys), np.int64), np.frombuffer(b"".join(times), np.int32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(np.add.reduceat(fit, np.cumsum(n) - n))], names=["key", "places", "fit"])
+
+    return rows
+
+
+def shard_models(docs: DataFrame, model: Model, shards: int):
+    """For each shard in turn: its saved tokens (n, data, keys, times), and the model as trained on those of its training documents."""
+    batch = F.when(crc_mod(10) != 0, _batch()).otherwise(F.lit(BATCHES)).cast("long")
+    dealt = save(docs.select(row_key().alias("key"), batch.alias("batch"), "text").mapInArrow(
+        _dealt(model.classes, shards), "shard int, batch long, n long, data binary, keys binary, times binary"), "dealt", "shard")
+    for k in range(shards):
+        own = dealt.where(F.col("shard") == k).drop("shard")
+        own = own.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, own.rdd.getNumPartitions() // MERGE))
+        model.clear()
+        _fit(model, own.where(F.col("batch") < BATCHES).select("batch", "n", "data"), _of_saved)
+        yield own.select("n", "data", "keys", "times"), model
+    drop(dealt)
+
+
+def _sharded_fits(docs: DataFrame, model: Model, shards: int) -> DataFrame:
+    """key, places, fit: of every text, its tokens and their log10 summed over the shards, once for each row of that key."""
+    saved = []
+    for own, trained in shard_models(docs, model, shards):
+        shared = docs.sparkSession.sparkContext.broadcast(trained)
+        saved.append(save(own.mapInArrow(_fits(shared), "key long, places long, fit double"), "fits"))
+        shared.destroy()
+    whole = docs.sparkSession.read.schema(saved[0].schema).parquet(*(x._weft_path for x in saved))
+    return whole.groupBy("key").agg(F.sum("places").alias("places"), F.sum("fit").alias("fit_all"))
+
+
 def _score(shared, common):
+    """shared: the model, or None where its part is summed over shards."""
     def rows(batches):
-        model, (known, count) = shared.value, common.value
+        model, (known, count) = shared and shared.value, common.value
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for own in slices(batch, max_bytes=SLICE):
-                h, e, ptr = tokens(own.column(2))
-                fit = model.log10(h, e, ptr) if len(h) else np.zeros(0)
+                h, e, ptr = tokens(own.column(3))
+                fit = model.log10(history(h, ptr), model.classes.of(h, e), e % GROUPS) if model else np.zeros(len(h))
                 doc = np.repeat(np.arange(own.num_rows), np.diff(ptr))
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                 hit = known[at] == h if len(known) else np.zeros(len(h), bool)
@@ -407,9 +556,9 @@ def _score(shared, common):
                 cut = np.searchsorted(rd[first], np.arange(n + 1)).astype(np.int32)
                 struct = pa.StructArray.from_arrays([pa.array(rh[first].view(np.int64)), pa.array(times.astype(np.int32))], names=["h", "n"])
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array((np.int64(part) << 33) + row + np.arange(n)), pa.array(np.diff(ptr)), pa.array(sums[0]),
+                    [own.column(0), own.column(1), own.column(2), pa.array((np.int64(part) << 33) + row + np.arange(n)), pa.array(np.diff(ptr)), pa.array(sums[0]),
                      pa.array(sums[1]), pa.array(sums[2].astype(np.int64)), pa.ListArray.from_arrays(pa.array(cut), struct)],
-                    names=["doc_id", "held_out", "uid", "n_tokens", "fit", "weight", "hits", "rare"])
+                    names=["doc_id", "held_out", "key", "uid", "n_tokens", "fit", "weight", "hits", "rare"])
                 row += n
 
     return rows
@@ -419,19 +568,26 @@ def score(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    model, counts = train(docs)
+    model, counts = untrained(docs)
+    shards = shards_for(model.total)
+    if shards > 1:
+        fits = _sharded_fits(docs, model, shards)
+    else:
+        _fit_texts(model, docs)
     top = counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h", "n").toArrow()
     known, count = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(known)
     common = spark.sparkContext.broadcast((known[order], count[order]))
-    rows = save(docs.select("doc_id", (crc_mod(10) == 0).alias("held_out"), "text").mapInArrow(
-        _score(spark.sparkContext.broadcast(model), common),
-        "doc_id long, held_out boolean, uid long, n_tokens long, fit double, weight double, hits long, rare array<struct<h:long,n:int>>"), "scores")
+    rows = save(docs.select("doc_id", (crc_mod(10) == 0).alias("held_out"), row_key().alias("key"), "text").mapInArrow(
+        _score(spark.sparkContext.broadcast(model) if shards == 1 else None, common),
+        "doc_id long, held_out boolean, key long, uid long, n_tokens long, fit double, weight double, hits long, rare array<struct<h:long,n:int>>"), "scores")
     rare = rows.select("uid", F.explode("rare").alias("r")).select("uid", "r.h", F.col("r.n").alias("times"))
     left = counts.select("h", "n") if len(known) >= COMMON else counts.select("h", "n").limit(0)
     found = rare.join(left, "h").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + ADD)).alias("more"), F.sum("times").alias("hits_more"),
                                                    F.sum(F.col("times") * F.log10(F.lit(ADD))).alias("instead"))
     out = rows.drop("rare").join(found, "uid", "left")
+    if shards > 1:  # rows that agree share a key, and so an equal part of its sum
+        out = out.join(fits, "key", "left").withColumn("fit", F.col("fit_all") * F.col("n_tokens") / F.col("places"))
     unseen = F.col("n_tokens") - F.col("hits")
     weight = F.col("weight") + unseen * F.log10(F.lit(ADD)) + F.coalesce(F.col("more") - F.col("instead"), F.lit(0.0))
     space = float(np.log10(model.total + ADD * (model.kinds + 1)))
