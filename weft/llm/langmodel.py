@@ -58,7 +58,6 @@ SLICE = 2 << 20  # bytes of text worked on at a time: each part costs a pass ove
 CHUNK = 256  # feature rows in one row of a partial table
 MERGE = 4  # partitions of saved tokens read by one task: each task makes tables of its own
 SLICE_TOKENS = 400_000  # saved tokens worked on at a time, about as many as in a SLICE
-DEALT = 4 * SLICE  # bytes of text dealt to shards at a time: words that occur in a saved row are named once in it
 STEP = 4096  # tokens worked on at a time: their probabilities stay in the cache
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 LOW = np.uint64(0xFFFFFFFF)  # the bits of a word's hash that features see
@@ -301,7 +300,8 @@ def _gathered(batches):
     """The saved rows of about SLICE_TOKENS tokens at a time, as lists by column."""
     held, size = [], 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for k in range(batch.num_rows):
+            row = [c[k].as_py() for c in batch.columns]
             held.append(row)
             size += row[0]
             if size >= SLICE_TOKENS:
@@ -468,7 +468,7 @@ def _dealt(classes: Classes, shards: int):
     def rows(batches):
         boxes = np.arange(shards * (BATCHES + 1) + 1)
         for batch in batches:
-            for part in slices(batch, max_bytes=DEALT):
+            for part in slices(batch, max_bytes=SLICE):
                 h, leaf, ptr = tokens(part.column(2))
                 keys, own_batch = part.column(0).to_numpy(), part.column(1).to_numpy()
                 cls, group = classes.of(h, leaf), leaf % GROUPS
