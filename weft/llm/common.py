@@ -137,7 +137,7 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def save(df: DataFrame, name: str, *by: str) -> DataFrame:
+def save(df: DataFrame, name: str, *by: str, row_group: int | None = None) -> DataFrame:
     """Write a table to the shared folder, parted by columns if any, and read it back: cuts lineage, survives lost executors, keeps columns apart.
 
     The table goes when `drop` is called on it, or else when the driver's process ends.
@@ -148,7 +148,8 @@ def save(df: DataFrame, name: str, *by: str) -> DataFrame:
 
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{name}-{uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    writer = df.write.partitionBy(*by) if by else df.write
+    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     if not _saved:
         atexit.register(_clear)
     _saved[path] = spark

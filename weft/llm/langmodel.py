@@ -57,7 +57,8 @@ FAN = 64
 SLICE = 2 << 20  # bytes of text worked on at a time: each part costs a pass over the table of features
 CHUNK = 256  # feature rows in one row of a partial table
 MERGE = 4  # partitions of saved tokens read by one task: each task makes tables of its own
-SLICE_TOKENS = 400_000  # saved tokens worked on at a time, about as many as in a SLICE
+SLICE_TOKENS = 200_000  # saved tokens worked on at a time
+ROW_GROUP = 16 << 20  # bytes of saved tokens that a reader or writer holds
 STEP = 4096  # tokens worked on at a time: their probabilities stay in the cache
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 LOW = np.uint64(0xFFFFFFFF)  # the bits of a word's hash that features see
@@ -256,14 +257,16 @@ def _counts(batches):
 def _packed(*tables: np.ndarray):
     """Rows of CHUNK x CLASSES numbers, of one table after the other, with 12 bits of mantissa."""
     part, width = TaskContext.get().partitionId(), CHUNK * CLASSES
-    rows, at = [], []
     for k, whole in enumerate(tables):
-        short = (np.ascontiguousarray(whole, np.float32).view(np.uint32) + np.uint32(0x400)) & np.uint32(0xFFFFF800)
-        for lo in range(0, len(short), width):
-            if short[lo : lo + width].any():
-                rows.append(zstandard.compress(short[lo : lo + width].tobytes(), 1))
-                at.append(k * len(short) + lo)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part, np.int64)), pa.array(at, pa.int64()), pa.array(rows, pa.binary())], names=["part", "chunk", "table"])
+        bits = np.ascontiguousarray(whole, np.float32).view(np.uint32)
+        for start in range(0, len(bits), 64 * width):
+            rows, at = [], []
+            for lo in range(start, min(len(bits), start + 64 * width), width):
+                short = (bits[lo : lo + width] + np.uint32(0x400)) & np.uint32(0xFFFFF800)
+                if short.any():
+                    rows.append(zstandard.compress(short.tobytes(), 1))
+                    at.append(k * len(bits) + lo)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part, np.int64)), pa.array(at, pa.int64()), pa.array(rows, pa.binary())], names=["part", "chunk", "table"])
 
 
 def _of_texts(classes: Classes, batches):
@@ -332,7 +335,7 @@ def _observed(shared, read):
         for back, cls, group in read(model.classes, batches):
             many = np.flatnonzero(cls > SINGLES)
             _add_observed(class_rows, group_rows, features(back, model.buckets), cls, group_features([x[many] for x in back], cls[many], model.buckets), many, group)
-        yield _packed(seen)
+        yield from _packed(seen)
 
     return rows
 
@@ -365,7 +368,7 @@ def _compared(shared, read):
                     own[:, k] += np.bincount(row, p[:, k], minlength=len(own))
         extra = np.zeros(CHUNK * CLASSES, np.float32)
         extra[:2] = told
-        yield _packed(seen, want)
+        yield from _packed(seen, want)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([2 * len(seen)], pa.int64()),
                                           pa.array([zstandard.compress(extra.tobytes(), 1)], pa.binary())], names=["part", "chunk", "table"])
 
@@ -510,7 +513,7 @@ def shard_models(docs: DataFrame, model: Model, shards: int):
     """For each shard in turn: its saved tokens (n, data, keys, times), and the model as trained on those of its training documents."""
     batch = F.when(crc_mod(10) != 0, _batch()).otherwise(F.lit(BATCHES)).cast("long")
     dealt = save(docs.select(row_key().alias("key"), batch.alias("batch"), "text").mapInArrow(
-        _dealt(model.classes, shards), "shard int, batch long, n long, data binary, keys binary, times binary"), "dealt", "shard")
+        _dealt(model.classes, shards), "shard int, batch long, n long, data binary, keys binary, times binary"), "dealt", "shard", row_group=ROW_GROUP)
     for k in range(shards):
         own = dealt.where(F.col("shard") == k).drop("shard")
         own = own.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, own.rdd.getNumPartitions() // MERGE))
