@@ -1,6 +1,9 @@
 """Token shards: round trip, permutation, resumable reads, order-free repeats."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weft.llm import tokenbin as tb
@@ -53,3 +56,31 @@ def test_empty_table_writes_no_shard(spark, tmp_path):
 def test_clashing_columns_are_ignored(spark, tmp_path):
     df = spark.createDataFrame([(1, "a b", 5, b"x")], "doc_id long, text string, part int, tokens binary")
     assert tb.materialise_tokens(df, f"file://{tmp_path}/c")[0].count() == 1
+
+
+def test_tokens_are_moved_in_steps_of_bounded_memory(tmp_path, monkeypatch):
+    """A full flush and a shard made of it take a few times the tokens' bytes, not the 64-bit indices of all of them; every token arrives."""
+    rng = np.random.default_rng(1)
+    n = np.append(rng.integers(1, 400, 35_000), 50_000)  # 14 MB: one flush
+    first = np.cumsum(n) - n
+    texts = [rng.integers(0, 50_000, k).astype(np.uint16) for k in n]
+    n_sequences = -(-int(n.sum()) // 1024)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(first), pa.array([t.tobytes() for t in texts], pa.binary())], names=["part", "before", "tokens"])
+    order, offsets = tb.Feistel(n_sequences), type("Offsets", (), {"value": {0: 0}})
+    monkeypatch.setattr(tb.TaskContext, "get", lambda: type("Task", (), {"taskAttemptId": lambda self: 1})())
+
+    def peak(work):
+        tracemalloc.start()
+        out = work()
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return out, most
+
+    pieces, most = peak(lambda: list(tb._pieces(offsets, order, 1024, 16_384, np.uint16)([batch])))
+    assert most < 90
+    rows = pa.table({"payload": pa.array([p for piece in pieces for p in piece.column(1).to_pylist()], pa.binary())})
+    shard, most = peak(lambda: tb._shard(f"file://{tmp_path}", n_sequences, 1024, 16_384, 50_000, np.uint16)((pa.scalar(0),), rows))
+    assert most < 90
+    assert shard.column("tokens").to_pylist() == [int(n.sum())]
+    body = np.fromfile(f"{tmp_path}/shard-000000.bin", np.uint16).reshape(-1, 1024)
+    assert (body[order.slot(np.arange(n_sequences))].reshape(-1)[: n.sum()] == np.concatenate(texts)).all()

@@ -45,6 +45,7 @@ LENGTH, PER_SHARD = 1024, 16_384
 KEY = 0x5EEDC0DE
 ROUNDS = 4
 FLUSH = 16 << 20
+STEP = 1 << 17  # tokens copied at a time: index arrays take eight bytes a token, four times the tokens themselves
 PACKED = 6  # compression level of tokens at rest and on the way
 
 
@@ -110,20 +111,37 @@ def _tokenise(ranks):
     return rows
 
 
+def _steps(start: np.ndarray, sizes: np.ndarray):
+    """Index arrays over the runs of tokens at `start`, in order, each with where its part begins and ends in all runs end to end: about STEP tokens at a time."""
+    ends = np.cumsum(sizes)
+    lo, done = 0, 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, done + STEP, "right")))
+        upto = int(ends[hi - 1])
+        first = start[lo:hi] - (ends[lo:hi] - sizes[lo:hi] - done)
+        yield np.repeat(first, sizes[lo:hi]) + np.arange(upto - done), done, upto
+        lo, done = hi, upto
+
+
 def _pieces(offsets, order, length, per_shard, kind):
     """Pieces of the texts by shard: place of each token run in its shard, and the runs, compressed."""
 
+    def payload(place, start, sizes, tokens):
+        total = 8 + place.nbytes + sizes.nbytes + int(sizes.sum()) * tokens.itemsize
+        into = zstandard.ZstdCompressor(level=PACKED).compressobj(size=total)
+        out = [into.compress(x.tobytes()) for x in (np.array([len(place)], np.int64), place, sizes)]
+        out += [into.compress(tokens[at].tobytes()) for at, _, _ in _steps(start, sizes)]
+        return b"".join([*out, into.flush()])
+
     def pack(held):
         shard, place, sizes = (np.concatenate([h[k] for h in held]) for k in range(3))
         tokens = np.concatenate([h[3] for h in held])
+        held.clear()
         by = np.argsort(shard, kind="stable")
         start = (np.cumsum(sizes) - sizes)[by]
         shard, place, sizes = shard[by], place[by], sizes[by]
-        tokens = tokens[np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
         ids, cut = np.unique(shard, return_index=True)
-        cut, ends = np.append(cut, len(shard)), np.concatenate(([0], np.cumsum(sizes)))
-        rows = [zstandard.compress(b"".join((np.array([v - u], np.int64).tobytes(), place[u:v].tobytes(), sizes[u:v].tobytes(), tokens[ends[u] : ends[v]].tobytes())), PACKED)
-                for u, v in zip(cut[:-1], cut[1:], strict=True)]
+        rows = [payload(place[u:v], start[u:v], sizes[u:v], tokens) for u, v in zip(cut, [*cut[1:], len(shard)], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows, pa.binary())], names=["shard", "payload"])
 
     def rows(batches):
@@ -160,20 +178,21 @@ def _shard(out, n_sequences, length, per_shard, end, kind):
         count = min(per_shard, n_sequences - shard * per_shard)
         body = np.full(count * length, end, kind)
         filled = 0
-        for payload in rows.column("payload").to_pylist():
-            flat = zstandard.decompress(payload)
+        for payload in rows.column("payload"):
+            flat = zstandard.decompress(payload.as_buffer())
             n = int(np.frombuffer(flat, np.int64, 1)[0])
             place, sizes = np.frombuffer(flat, np.int64, n, 8), np.frombuffer(flat, np.int64, n, 8 + 8 * n)
             run = np.frombuffer(flat, kind, offset=8 + 16 * n)
-            body[np.repeat(place - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(run))] = run
+            for at, lo, hi in _steps(place, sizes):
+                body[at] = run[lo:hi]
             filled += int(sizes.sum())
         store, path = pafs.FileSystem.from_uri(out)
         name = f"{path}/shard-{shard:06d}.bin"
         draft = f"{name}.{TaskContext.get().taskAttemptId()}"
         with store.open_output_stream(draft) as f:
-            f.write(body.tobytes())
+            f.write(pa.py_buffer(body))
         store.move(draft, name)
-        return pa.table({"shard": [shard], "sequences": [count], "tokens": [filled], "crc": [zlib.crc32(body.tobytes())]})
+        return pa.table({"shard": [shard], "sequences": [count], "tokens": [filled], "crc": [zlib.crc32(body)]})
 
     return write
 
