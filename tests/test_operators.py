@@ -148,6 +148,36 @@ def test_flows(spark):
     assert (s["terminal"], s["step_count"], s["nodes"], s["communities"]) == ("save", 3, 4, ["c1", "c2"])
 
 
+def counted(spark, frame):
+    """The frame, and an accumulator of how often its first row was worked out."""
+    seen = spark.sparkContext.accumulator(0)
+    first = frame.first()[0]
+
+    def look(batches):
+        for b in batches:
+            seen.add(int((b.iloc[:, 0] == first).any()))
+            yield b
+
+    return frame.coalesce(1).mapInPandas(look, frame.schema), seen
+
+
+def test_flows_of_many_entries(spark):
+    """Levels have a row a node, block of entries and step, however many entries meet there; calls are worked out once."""
+    ids = [f"n{k:03}" for k in range(300)]
+    pairs = [(a, b, 0.9, "CALLS") for k, a in enumerate(ids) for b in (ids[(k + 1) % 300], ids[(k * 7 + 3) % 300])]
+    calls, seen = counted(spark, spark.createDataFrame(pairs, EDGES))
+    entries, groups = spark.createDataFrame([(x,) for x in ids], "id string"), spark.createDataFrame([(x, x[-1]) for x in ids if x != "n007"], "node string, community string")
+    levels, _ = flows.bfs_levels(entries, calls)
+    assert seen.value == 1 and levels.groupBy("block", "node", "step").count().where("count > 1").isEmpty()
+    assert levels.count() <= 2 * 300 * (1 + levels.agg(F.max("step")).first()[0])
+    want = flows.bfs_flows(entries, calls)
+    assert seen.value == 2 and want.count() == 300 * 300
+    assert rows_of(flows.bfs_steps(entries, calls)) == rows_of(want.select("entry", "node", "step"))
+    columns = ["entry", "terminal", "step_count", "nodes", "communities"]
+    assert rows_of(flows.level_summary(entries, calls, groups).select(columns)) == rows_of(flows.flow_summary(want, groups).select(columns))
+    assert flows.bfs_steps(entries.limit(0), calls).isEmpty()
+
+
 def model_traces(entry, out, depth=10, branches=4, most=12, least=3):
     queue, found = [[entry]], []
     while queue and len(found) < most:

@@ -112,9 +112,10 @@ def candidates(nodes: DataFrame, calls: DataFrame, k: int = CANDIDATES) -> DataF
 def bfs_flows(entries: DataFrame, calls: DataFrame) -> DataFrame:
     """entry, node, step, ord: all that each entry reaches, its distance, and the order in which a queue would meet it.
 
-    entries: id. One join a level for all entries together; a level is cut from the plan when it is done.
+    entries: id. One join a level for all entries together; a level is cut from the plan when it is done. Without need of
+    the order, `bfs_levels` has a row a node instead of a row an entry and node.
     """
-    out = calls.select("src", "dst").distinct()
+    out = materialise(calls.select("src", "dst").distinct())  # the calls are worked out once, not at each level
     front = materialise(entries.select(F.col("id").alias("entry"), F.col("id").alias("node"), F.lit(0).alias("step"), F.lit(1).cast("long").alias("ord")).distinct())
     seen, step = front, 0
     while not front.isEmpty():
@@ -128,6 +129,61 @@ def bfs_flows(entries: DataFrame, calls: DataFrame) -> DataFrame:
     return seen
 
 
+WORDS, BITS = 4, 64
+_MASKS = [f"_b{k}" for k in range(WORDS)]
+
+
+def bfs_levels(entries: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What `bfs_flows` finds, as (levels, index): levels has block, node, step and a mask of the entries of the block that meet the node at that step.
+
+    entries: id. index: block, word, bit, entry; a block is 256 entries. A level moves one mask along each call, for all
+    entries of a block together, so rows grow with nodes and calls and not with entries times nodes.
+    """
+    at = F.row_number().over(Window.orderBy("entry")) - 1  # one row an entry
+    index = entries.select(F.col("id").alias("entry")).distinct().withColumn("_at", at)
+    index = materialise(index.select(F.expr(f"_at div {WORDS * BITS}").alias("block"), F.expr(f"_at % {WORDS * BITS} div {BITS}").alias("word"), F.expr(f"_at % {BITS}").alias("bit"), "entry"))
+    out = materialise(calls.select("src", "dst").distinct())
+    own = [F.when(F.col("word") == k, F.expr("shiftleft(1L, CAST(bit AS INT))")).otherwise(F.lit(0).cast("long")).alias(m) for k, m in enumerate(_MASKS)]
+    front = materialise(index.select("block", F.col("entry").alias("node"), F.lit(0).alias("step"), *own))
+    seen, step = front, 0
+    either = [F.bit_or(m).alias(m) for m in _MASKS]
+    while not front.isEmpty():
+        step += 1
+        reach = front.join(out, front.node == out.src).groupBy("block", F.col("dst").alias("node")).agg(*either)
+        known = seen.groupBy("block", "node").agg(*[F.bit_or(m).alias(f"_k{m}") for m in _MASKS])
+        fresh = reach.join(known, ["block", "node"], "left").select(
+            "block", "node", F.lit(step).alias("step"), *[F.col(m).bitwiseAND(F.bitwise_not(F.coalesce(f"_k{m}", F.lit(0).cast("long")))).alias(m) for m in _MASKS])
+        front = materialise(fresh.where(reduce(or_, [F.col(m) != 0 for m in _MASKS])))
+        seen = seen.union(front)
+    return seen, index
+
+
+def _each_entry(rows: DataFrame, index: DataFrame, *keep: str, merge: list | None = None) -> DataFrame:
+    """Masks as rows of an entry each; merge: aggregates over the rows of an entry and its `keep` columns, before its name is looked up."""
+    words = rows.select("block", *keep, F.posexplode(F.array(*_MASKS)).alias("word", "_m")).where("_m != 0")
+    bits = words.select("block", *keep, "word", "_m", F.explode(F.array(*[F.lit(k) for k in range(BITS)])).alias("bit")).where("shiftright(_m, bit) & 1 = 1").drop("_m")
+    if merge:
+        by = [c for c in keep if c != "node"]
+        bits = bits.groupBy("block", "word", "bit", *by).agg(*merge)
+    return bits.join(F.broadcast(index), ["block", "word", "bit"]).drop("block", "word", "bit")  # one row an entry
+
+
+def bfs_steps(entries: DataFrame, calls: DataFrame) -> DataFrame:
+    """entry, node, step of `bfs_flows`."""
+    return _each_entry(*bfs_levels(entries, calls), "node", "step").select("entry", "node", "step")
+
+
+def level_summary(entries: DataFrame, calls: DataFrame, membership: DataFrame) -> DataFrame:
+    """`flow_summary` of `bfs_flows` without the id, which is of the order of nodes: entry, terminal, step_count, nodes, communities."""
+    levels, index = bfs_levels(entries, calls)
+    each = _each_entry(levels, index, "node", "step", merge=[F.max("node").alias("node"), F.count("*").alias("n")])
+    own = each.groupBy("entry").agg(F.max_by("node", "step").alias("terminal"), (F.max("step") + 1).alias("step_count"), F.sum("n").alias("nodes"))
+    masks = levels.join(membership, "node").groupBy("block", "community").agg(*[F.bit_or(m).alias(m) for m in _MASKS])
+    groups = _each_entry(masks, index, "community").groupBy("entry").agg(F.sort_array(F.collect_set("community")).alias("communities"))
+    empty = F.array().cast(f"array<{dict(membership.dtypes)['community']}>")
+    return own.join(groups, "entry", "left").select("entry", "terminal", "step_count", "nodes", F.coalesce("communities", empty).alias("communities"))
+
+
 def flow_summary(flows: DataFrame, membership: DataFrame) -> DataFrame:
     """entry, terminal, step_count, nodes, communities, id: one row a flow. membership: node, community."""
     own = flows.groupBy("entry").agg(
