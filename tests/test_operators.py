@@ -329,6 +329,19 @@ def test_aggregate_and_enrich(spark):
 # --- search ----------------------------------------------------------------------------------------
 
 
+def test_scores_do_not_depend_on_the_order_of_their_parts(spark):
+    """Copies of a text tie to the last bit and are ordered by id, however the parts of a sum arrive."""
+    rows = [(k, v) for k in range(60) for v in ((0.3, 0.2, 0.1) if k % 2 == 0 else (0.1, 0.2, 0.3))]  # 0.6 and 0.6000000000000001 as doubles
+    files = spark.createDataFrame(rows, "file_path long, score double").coalesce(1)
+    got = search.merge_tables(files, 60).orderBy("rank").collect()
+    assert [r["file_path"] for r in got] == list(range(60)) and len({r["score"] for r in got}) == 1
+    text = "lytic lytion lytia lytin lytio lytiq thatt thats that"
+    docs = spark.createDataFrame([(k, text) for k in range(40)] + [(99, "other words here")], "id long, text string").repartition(7)
+    found = search.field_search({"text": (search.Bm25.build(docs), 1.0)}, "lyti thatt", 40).orderBy("rank").collect()
+    assert [r["id"] for r in found] == list(range(40)) and len({r["score"] for r in found}) == 1
+
+
+
 def test_rrf_goldens(spark):
     bm = spark.createDataFrame([("A", 9.0, 1), ("B", 8.0, 2)], "id string, score double, rank int")
     se = spark.createDataFrame([("B", 0.9, 1), ("C", 0.8, 2)], "id string, score double, rank int")

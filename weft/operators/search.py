@@ -27,6 +27,11 @@ def _stems(term: pd.Series) -> pd.Series:
     return term.map(stem)
 
 
+def exact_sum(part: Column | str) -> Column:
+    """Sum of doubles to 20 places, whatever their order: rows made of the same parts tie, and ids decide between them."""
+    return F.sum(F.col(part).cast("decimal(38,20)") if isinstance(part, str) else part.cast("decimal(38,20)")).cast("double")
+
+
 def stemmed(terms: DataFrame) -> DataFrame:
     """Adds the Porter stem to a table with one row a term."""
     return terms.withColumn("stem", _stems("term"))
@@ -84,7 +89,7 @@ class Bm25:
         terms = weighted.join(self.vocabulary, "term").select("term", (idf * F.col("weight")).alias("_w"))
         norm = k1 * (1 - b + b * F.col("length") / F.lit(average or 1.0))
         hit = self.postings.join(terms, "term").select("id", "term", (F.col("_w") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("s"))
-        out = hit.groupBy("id").agg(F.sum("s").alias("score"), F.count("*").alias("_terms"))
+        out = hit.groupBy("id").agg(exact_sum("s").alias("score"), F.count("*").alias("_terms"))
         return (out.where(F.col("_terms") >= conjunctive) if conjunctive else out).drop("_terms")
 
     def score_terms(self, weights: dict[str, float], conjunctive: int = 0, k1: float = K1, b: float = B) -> DataFrame:
@@ -98,7 +103,7 @@ class Bm25:
         parts = [F.when(F.col(f"_{k}") > 0, F.lit(math.log(1 + (n - d + 0.5) / (d + 0.5)) * w) * F.col(f"_{k}") * (k1 + 1) / (F.col(f"_{k}") + norm)).otherwise(0.0)
                  for k, (d, w) in enumerate(zip(df, weights.values(), strict=True))]
         least = reduce(add, [(F.col(f"_{k}") > 0).cast("int") for k in range(len(weights))])
-        return counts.where(least >= max(1, conjunctive)).groupBy("id").agg(F.sum(reduce(add, parts)).alias("score"))
+        return counts.where(least >= max(1, conjunctive)).groupBy("id").agg(exact_sum(reduce(add, parts)).alias("score"))
 
     def search(self, query: str, limit: int = 20, conjunctive: bool = False) -> DataFrame:
         """id, score, rank; nothing for a blank query or a limit of 0."""
@@ -145,12 +150,12 @@ def field_search(fields: dict[str, tuple[Bm25, float]], query: str, limit: int =
             one = index.score(index.expand(query, fuzzy) if fuzzy is not None else index.docs.sparkSession.createDataFrame([(t, 1.0) for t in own], "term string, weight double"))
         one = one.withColumn("score", F.col("score") * weight)
         out = one if out is None else out.union(one)
-    return ranked(out.groupBy("id").agg(F.sum("score").alias("score")), limit)
+    return ranked(out.groupBy("id").agg(exact_sum("score").alias("score")), limit)
 
 
 def merge_tables(hits: DataFrame, limit: int, key: str = "file_path") -> DataFrame:
     """One score a file: the sum over the tables it was found in."""
-    return ranked(hits.groupBy(key).agg(F.sum("score").alias("score")), limit, key)
+    return ranked(hits.groupBy(key).agg(exact_sum("score").alias("score")), limit, key)
 
 
 def rrf(lists: dict[str, tuple[DataFrame, float]], key: str = "id", k: int = RRF_K, first_rank: int = 1, limit: int | None = 20) -> DataFrame:
@@ -167,7 +172,7 @@ def rrf(lists: dict[str, tuple[DataFrame, float]], key: str = "id", k: int = RRF
                                          F.max(F.when(F.col("_list") == name, F.col("_rank"))).alias(f"{name}_rank"))]
     part = F.col("_weight") / (k + F.col("_rank") - 1 + first_rank)
     out = rows.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.sum(part).alias("score"), F.array_join(F.array_sort(F.collect_set("_list")), ",").alias("sources"), *own)
+        exact_sum(part).alias("score"), F.array_join(F.array_sort(F.collect_set("_list")), ",").alias("sources"), *own)
     return ranked(out, limit, key) if limit else out
 
 
@@ -179,7 +184,7 @@ def process_groups(hits: DataFrame, steps: DataFrame, membership: DataFrame, pro
     """
     known = hits.join(membership.groupBy("id").agg(F.max("cohesion").alias("cohesion")), "id", "left")
     within_ = known.join(steps, "id")
-    grouped = within_.groupBy("process").agg(F.sum("score").alias("total"), F.max(F.coalesce("cohesion", F.lit(0.0))).alias("boost"), F.count("*").alias("symbol_count"))
+    grouped = within_.groupBy("process").agg(exact_sum("score").alias("total"), F.max(F.coalesce("cohesion", F.lit(0.0))).alias("boost"), F.count("*").alias("symbol_count"))
     best = grouped.select("process", "symbol_count", (F.col("total") + 0.1 * F.col("boost")).alias("_p")).orderBy(F.desc("_p"), "process").limit(processes)
     order = Window.partitionBy("process").orderBy(F.desc("score"), "id", "step")
     own = within_.join(best.select("process", "_p"), "process").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= symbols)
