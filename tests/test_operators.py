@@ -303,6 +303,16 @@ def test_leiden_comes_near_the_best_modularity(pairs):
     assert leiden(near) == got
 
 
+def test_neighbours_are_worked_out_once(spark):
+    pairs = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102)]
+    rows = spark.createDataFrame([*pairs, *[(b, a) for a, b in pairs]], "node long, other long")
+    nodes = rows.select("node").distinct()
+    for work in (community.propagate, community.components, lambda a, n: community.communities(a, n, exact_nodes=10), lambda a, n: community.communities(a, n, method="leiden")):
+        adj, seen = counted(spark, rows)
+        assert work(adj, nodes).count() == 44
+        assert seen.value == 1
+
+
 def test_leiden_on_tables(spark):
     ring = [(f"n{c}{i}", f"n{c}{j}") for c in range(4) for i in range(5) for j in range(i)] + [("n00", "n10"), ("n11", "n20"), ("n21", "n30")]
     rows = spark.createDataFrame([*ring, *[(b, a) for a, b in ring]], "node string, other string")
