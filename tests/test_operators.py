@@ -418,6 +418,23 @@ def test_upsert_delete_and_budget(spark):
     assert [r["chunk"] for r in changes.chunk_by_budget(f, 10).orderBy("ord").collect()] == [0, 0, 1, 2, 2, 3]
 
 
+def test_budget_of_a_large_repository(spark):
+    """The time of a fold grows with its rows, not with their square; odd sizes and repositories as in a small one."""
+    import time
+
+    f = spark.range(60_000).select(F.lit("r").alias("repo"), (59_999 - F.col("id")).alias("ord"), (F.col("id") % 50 + 1).alias("size"))
+    begin = time.monotonic()
+    got = [r["chunk"] for r in changes.chunk_by_budget(f, 200).orderBy("ord").collect()]
+    assert time.monotonic() - begin < 20
+    chunk, filled, want = 0, 0, []
+    for size in ((59_999 - k) % 50 + 1 for k in range(60_000)):
+        chunk, filled = (chunk + 1, size) if filled > 0 and filled + size > 200 else (chunk, filled + size)
+        want.append(chunk)
+    assert got == want
+    odd = spark.createDataFrame([(None, 1, 7), (None, 2, 7), ("a", 1, 7), ("a", 2, None), ("a", 3, 20), ("b", None, 7), ("b", 1, 7)], "repo string, ord long, size long")
+    assert rows_of(changes.chunk_by_budget(odd, 10)) == sorted([(None, 1, 0), (None, 2, 1), ("a", 1, 0), ("a", 2, 0), ("a", 3, 0), ("b", None, 1), ("b", 1, 0)], key=repr)
+
+
 def test_run_metrics(spark):
     rows = spark.createDataFrame([("m_baseline", "i1", "diff", 1.0, 10, None, None, None), ("m_baseline", "i2", " ", None, None, None, None, None), ("m_native", "i1", "d", 3.0, 4, 2, 1, 2)],
                                  "run_id string, instance_id string, patch string, cost double, api_calls long, tool_calls long, augment_hits long, augment_calls long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,18 +48,30 @@ def change_summary(nodes: DataFrame, changed: DataFrame, steps: DataFrame) -> Da
 def chunk_by_budget(files: DataFrame, budget: int) -> DataFrame:
     """repo, ord, chunk: files in order, packed until a chunk would pass the budget; a larger file has a chunk alone.
 
-    The fold runs inside each repository. For plain reading the scan's own split size does this without a shuffle.
+    The fold runs inside each repository, over rows sorted by order (then size, nulls last): it holds a batch of rows and
+    the chunk that is being filled. For plain reading the scan's own split size does this without a shuffle.
     """
-    own = files.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("ord", "size"))).alias("f"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("filled"), F.array().cast("array<struct<ord:bigint,chunk:int>>").alias("out"))
-
-    def put(s, f):
-        over = (s["filled"] > 0) & (s["filled"] + f["size"] > budget)
-        chunk = F.when(over, s["chunk"] + 1).otherwise(s["chunk"])
-        filled = F.when(over, f["size"]).otherwise(s["filled"] + f["size"])
-        return F.struct(chunk.alias("chunk"), filled.alias("filled"), F.concat(s["out"], F.array(F.struct(f["ord"].alias("ord"), chunk.alias("chunk")))).alias("out"))
-
-    return own.select("repo", F.explode(F.aggregate("f", start, put)["out"]).alias("o")).select("repo", "o.ord", "o.chunk")
+    kinds = dict(files.dtypes)
+    rows = files.select("repo", F.col("ord"), F.col("size")).repartition("repo")
+    rows = rows.sortWithinPartitions(F.asc("repo"), F.asc_nulls_last("ord"), F.asc_nulls_last("size"))
+
+    def pack(batches):
+        last, chunk, filled = (), 0, 0
+        for batch in batches:
+            out = []
+            for repo, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if last != (repo,):
+                    last, chunk, filled = (repo,), 0, 0
+                if filled is None or size is None:
+                    filled = None  # after an unknown size nothing is known to be over the budget
+                elif filled > 0 and filled + size > budget:
+                    chunk, filled = chunk + 1, size
+                else:
+                    filled += size
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(out, pa.int32())], names=["repo", "ord", "chunk"])
+
+    return rows.mapInArrow(pack, f"repo {kinds['repo']}, ord bigint, chunk int")
 
 
 def module_tokens(files: DataFrame) -> DataFrame:
